@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import fingerprint, mixing, near_dedup, pii
 
 
 def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -17,11 +17,43 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_docs(spark, sf_dir))
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op8_near_dedup": op8_near_dedup,
+    "op9_pii": op9_pii,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio FROM w),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM r WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT arg_min(level, ratio) FILTER (level <= ratio) AS water FROM l),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(water * weight, cap)) AS target FROM l, v),
+q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate FROM t),
+u AS (SELECT d.doc_id, d.source, d.size, j, CAST('0x' || substr(md5(j || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS x
+  FROM d, range(16) g(j)),
+c AS (SELECT q.source, j, abs(q.target - floor(q.rate) * q.source_size - sum(CASE WHEN x < q.rate - floor(q.rate) THEN size ELSE 0 END)) AS off
+  FROM u JOIN q ON u.source IS NOT DISTINCT FROM q.source GROUP BY q.source, q.target, q.rate, q.source_size, j),
+b AS (SELECT source, arg_min(j, (off, j)) AS seed FROM c GROUP BY 1)
+SELECT u.doc_id, u.size, q.source_size, q.target, CAST(u.size * (floor(q.rate) + CASE WHEN x < q.rate - floor(q.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM u JOIN q ON u.source IS NOT DISTINCT FROM q.source JOIN b ON b.source IS NOT DISTINCT FROM q.source AND b.seed = u.j""",
     "op8_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
