@@ -100,13 +100,14 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_BYTE = stream(256, 7)[_LOWER]
+_EXACT = stream(256, 7)
+_BYTE = _EXACT[_LOWER]
 
 
 class Words:
-    """Words of a slice of texts: the text's row, byte bounds in `raw` and a 64-bit hash (A-Z lowered)."""
+    """Words of a slice of texts: the text's row, byte bounds in `raw` and a 64-bit hash (A-Z lowered unless told not to)."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lower: bool = True):
         texts = texts.cast(pa.large_string()).fill_null("")
         _, offsets, data = texts.buffers()
         off = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
@@ -137,7 +138,7 @@ class Words:
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
         place = np.arange(size.sum()) - np.repeat(first, size)
         weight = stream(int(size.max()), 11)
-        self.hash = mix(np.add.reduceat(_BYTE[self.raw[inside]] * weight[place], first) + size.astype(U64))
+        self.hash = mix(np.add.reduceat((_BYTE if lower else _EXACT)[self.raw[inside]] * weight[place], first) + size.astype(U64))
 
     def shingles(self, k: int = 5) -> list[np.ndarray]:
         """Per text the hashes of its k-word shingles in order; of fewer words the whole sequence is one."""

@@ -58,11 +58,11 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     return cut(rates.join(t, rates["source"].eqNullSafe(t["_s"])).select("source", "source_size", "target", "rate", best.alias("seed")), "plan")
 
 
-def decide(docs: DataFrame, rates: DataFrame, size: Column) -> DataFrame:
-    """docs with source_size, target and copies from the plan. size is not used by the draw."""
-    with_plan = small_join(docs, rates, ["source"])
-    extra = draw(F.col("seed").cast("string"), F.col("doc_id")) < F.col("rate") - F.floor("rate")
-    return with_plan.withColumn("copies", (F.floor("rate") + F.when(extra, 1).otherwise(0)).cast("long")).drop("rate", "seed")
+def decide(docs: DataFrame, rates: DataFrame) -> DataFrame:
+    """docs with the plan's source_size and target and the document's copies, as columns named _mix_..."""
+    named = rates.select("source", *[F.col(c).alias(f"_mix_{c}") for c in ("source_size", "target", "rate", "seed")])
+    extra = draw(F.col("_mix_seed").cast("string"), F.col("doc_id")) < F.col("_mix_rate") - F.floor("_mix_rate")
+    return small_join(docs, named, ["source"]).withColumn("_mix_copies", (F.floor("_mix_rate") + F.when(extra, 1).otherwise(0)).cast("long"))
 
 
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -71,12 +71,14 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
     Null or empty texts have size 0; null sources are one source, ordered last; rows that share an id draw
     alike; of an empty table the result is empty."""
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    out = decide(sized, plan(sized, weights), F.col("size"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    copies = F.col("_mix_copies")
+    return decide(sized, plan(sized, weights)).select(
+        "doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies")
+    )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mixed corpus: every column of docs, each document as often as the mix takes it."""
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    decided = decide(docs, plan(sized, weights), F.lit(0))
-    return decided.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    decided = decide(docs, plan(sized, weights)).filter("_mix_copies > 0")
+    return decided.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)

@@ -190,16 +190,16 @@ def _outside(spans: Column, others: list[Column]) -> Column:
     return F.filter(spans, lambda x: ~F.exists(F.concat(*others), lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"])))
 
 
-def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """docs with one array of (start, end, hit) per base kind and for 'secret' and 'contact'.
+def find(docs: DataFrame, model: dict | None = None, into: str = "spans") -> DataFrame:
+    """docs with the column `into` (one of that name is replaced): one array of (start, end, hit) per base kind and for 'secret' and 'contact'.
 
     Null texts have no spans; every other column of docs is kept. Base spans are never changed; a span the
     trees add overlaps no base span, and of added spans that overlap one another the earliest, longest stays."""
     model = model or train(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("*", F.struct(*[v.alias(k) for k, v in base_spans(text).items()], candidates(text).alias("more")).alias("_s"))
-    base = [F.col(f"_s.{k}") for k in BASE]
-    chosen = F.filter(F.col("_s.more"), lambda c: score(model, features(c["hit"], c["before"])) >= model["threshold"])
+    out = docs.select("*", F.struct(*[v.alias(k) for k, v in base_spans(text).items()], candidates(text).alias("more")).alias("__pii_base"))
+    base = [F.col(f"__pii_base.{k}") for k in BASE]
+    chosen = F.filter(F.col("__pii_base.more"), lambda c: score(model, features(c["hit"], c["before"])) >= model["threshold"])
     plain = F.array_sort(F.transform(_outside(chosen, base), lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["kind"].alias("kind"), c["hit"].alias("hit"))))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string,kind:string>>").alias("out"))
     apart = F.aggregate(
@@ -207,9 +207,9 @@ def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
         lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct((-x["back"]).alias("at"), F.array_append(s["out"], F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["hit"].alias("hit"), x["kind"].alias("kind"))).alias("out"))),
         lambda s: s["out"],
     )
-    out = out.withColumn("_added", apart)
-    of = lambda kind: F.transform(F.filter("_added", lambda x: x["kind"] == kind), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
-    return out.select(*docs.columns, F.struct(*[F.col(f"_s.{k}").alias(k) for k in BASE], of("secret").alias("secret"), of("contact").alias("contact")).alias("spans"))
+    out = out.withColumn("__pii_added", apart)
+    of = lambda kind: F.transform(F.filter("__pii_added", lambda x: x["kind"] == kind), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
+    return out.select(*[c for c in docs.columns if c != into], F.struct(*[F.col(f"__pii_base.{k}").alias(k) for k in BASE], of("secret").alias("secret"), of("contact").alias("contact")).alias(into))
 
 
 def listed(spans: Column, kind: str) -> Column:
@@ -230,8 +230,12 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in angle brackets; overlapping spans merge into the
     first one's mark. Null texts stay null. Columns are those of docs."""
-    found = find(docs)
-    tagged = F.concat(*[F.transform(F.col("spans")[k], lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"<{k}>").alias("mark"))) for k in (*BASE, "secret", "contact")])
+    found = find(docs, into="__pii_spans")
+
+    def marked(kind: str) -> Column:
+        return F.transform(F.col("__pii_spans")[kind], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"<{kind}>").alias("mark")))
+
+    tagged = F.concat(*map(marked, (*BASE, "secret", "contact")))
     text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

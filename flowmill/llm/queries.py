@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, near_dedup, pii
+from . import fingerprint, language, mixing, near_dedup, packing, pii, quality, rules, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_docs(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(_docs(spark, sf_dir)).drop("d2")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -29,11 +49,23 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_docs(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
+    "op6_rules": op6_rules,
+    "op7_packing": op7_packing,
     "op8_near_dedup": op8_near_dedup,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
