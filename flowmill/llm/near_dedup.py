@@ -3,8 +3,9 @@
 1. Each text's set of five-word shingles gives 128 min-hashes, 32 band keys of four, and an odd sketch: every
    min-hash flips one bit, so the XOR of two sketches counts the samples in which the sets differ.
 2. Texts of equal sets fall into one class; only one representative of a class goes on.
-3. In every band bucket the least id is the pivot and all members are paired with it (a star, no pairs among
-   members). Pairs whose sketches and sizes allow the similarity are confirmed on the full sets.
+3. In every band bucket the least id is the pivot (a star, no pairs among members). A text is paired with the
+   pivot it meets most often, then with the pivots that are still in other components. Pairs whose sketches and
+   sizes allow the similarity are confirmed on the full sets.
 4. Buckets that still hold several components pair the members of the smaller components with the bucket's
    rest, so every candidate pair is either inside one component or compared. Nothing is capped.
 """
@@ -109,6 +110,12 @@ def _near(nu: str, nv: str, su: str, sv: str) -> Column:
     return sized & (sketch_distance(F.col(su), F.col(sv)) <= sketch_limit())
 
 
+def _named(df: DataFrame, found: DataFrame, at: str, name: str) -> DataFrame:
+    """df with the component of the id in column `at`; an id without links is its own."""
+    own = found.select(F.col("id").alias(at), F.col("component").alias("_c"))
+    return df.join(own, at, "left").withColumn(name, F.coalesce("_c", at)).drop("_c")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, class_id.
 
@@ -125,24 +132,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = classes.select("id", F.explode("bands").alias("b"))
     pivots = buckets.groupBy("b").agg(F.min("id").alias("v"), F.max("id").alias("_m")).filter("v != _m").select("b", "v")
     shared = cut(buckets.join(pivots, "b").select("b", F.col("id").alias("u"), "v"), "buckets")
-    facts = cut(classes.join(shared.select(F.col("u").alias("id")).distinct(), "id", "left_semi").select("id", "n", "sketch"), "facts")
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(facts.select("id").distinct(), "id"), "texts")
+    facts = cut(classes.join(shared.select(F.col("u").alias("id")).distinct().hint("merge"), "id", "left_semi").select("id", "n", "sketch"), "facts")
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(facts.select("id").distinct().hint("merge"), "id"), "texts")
 
-    star = _plausible(shared.filter("u != v").select("u", "v").distinct(), facts)
-    links = cut(confirmed(star, texts), "links")
+    # Each text with the pivot it shares most bands with; then with the pivots still in other components.
+    often = shared.filter("u != v").groupBy("u", "v").agg(F.count("*").alias("k"))
+    first = often.groupBy("u").agg(F.max(F.struct("k", (-F.col("v")).alias("v"))).alias("m")).select("u", (-F.col("m.v")).alias("v"))
+    links = cut(confirmed(_plausible(first, facts), texts), "links")
     found = cut(components(links), "found")
+    other = _named(_named(shared.filter("u != v"), found, "u", "cu"), found, "v", "cv").filter("cu != cv").select("u", "v").distinct()
+    other = cut(confirmed(_plausible(other, facts), texts), "links")
+    links = links.union(other)
+    found = found if other.isEmpty() else cut(components(links), "found")
 
     # Members of one bucket that are still apart: the smaller components against all the bucket holds.
-    of = shared.select("b", F.col("u").alias("id")).join(found, "id", "left").select("b", "id", F.coalesce("component", "id").alias("c"))
+    of = _named(shared.select("b", F.col("u").alias("id")), found, "id", "c")
     apart = of.groupBy("b").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("b")
     mixed = cut(of.join(apart, "b", "left_semi").join(facts, "id").select("b", "id", "c", "n", "sketch"), "mixed")
     sizes = mixed.groupBy("b", "c").agg(F.count("*").alias("k"))
-    major = sizes.groupBy("b").agg(F.max_by("c", F.struct("k", "c")).alias("major"))
+    major = sizes.groupBy("b").agg(F.max(F.struct("k", "c")).alias("m")).select("b", F.col("m.c").alias("major"))
     minor = mixed.join(major, "b").filter("c != major").select("b", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("sketch").alias("su"), "major")
     every = mixed.select("b", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
     rest = minor.join(every, "b").filter((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("major")) | (F.col("u") < F.col("v"))) & _near("nu", "nv", "su", "sv"))
-    more = confirmed(rest.select("u", "v").distinct().join(star.select("u", "v"), ["u", "v"], "left_anti"), texts)
-    more = cut(more, "links")
+    more = cut(confirmed(rest.select("u", "v").distinct(), texts), "links")
 
     final = found if more.isEmpty() else components(links.union(more))
     same = classes.select("c1", "c2", "id").join(final, "id", "left").select("c1", "c2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
