@@ -171,3 +171,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"),
         F.when(lone, F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"),
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs with one document left of each near-duplicate group: the one of the least id, and of
+    rows that repeat that id one. Texts without words and rows without an id all stay."""
+    judged = near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct().hint("merge")
+    named = docs.join(judged, F.col("doc_id").cast("long") == F.col("__id")).drop("__id")
+    twice = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not twice.isEmpty():
+        ids = twice.withColumnRenamed("doc_id", "__id")
+        same = named.join(ids, named["doc_id"] == ids["__id"], "left_semi").dropDuplicates(["doc_id"])
+        named = named.join(ids, named["doc_id"] == ids["__id"], "left_anti").unionByName(same)
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

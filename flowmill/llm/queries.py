@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, language, mixing, near_dedup, packing, pii, quality, rules, toxicity
+from . import fingerprint, language, mixing, near_dedup, packing, passages, pii, quality, rules, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -21,6 +21,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_docs(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op4_passages": op4_passages,
     "op5_toxicity": op5_toxicity,
     "op6_rules": op6_rules,
     "op7_packing": op7_packing,
