@@ -1,4 +1,4 @@
-"""All registered queries and their SQL twins."""
+"""Registration of named queries and their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,5 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under `name`, with DuckDB SQL for the same rows where SQL can express it."""
+
+    def add(f: Query) -> Query:
+        assert name not in QUERIES, name
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
