@@ -162,9 +162,10 @@ def aggregated(spark: SparkSession, d: str) -> DataFrame:
     return O.with_scores(O.aggregate_by_ticker(qualified(spark, d)))
 
 
-@query("agg1_flow_by_ticker", f"WITH {AGG_SQL} SELECT {', '.join(WHOLE)}, {', '.join(f'round({c}, 4) AS {c}' for c in ROUNDED)} FROM agg")
+@query("agg1_flow_by_ticker", f"WITH {AGG_SQL} SELECT {', '.join(WHOLE)}, {', '.join(f'round({c} + 0.00000001, 4) AS {c}' for c in ROUNDED)} FROM agg")
 def agg1(spark, d):
-    return aggregated(spark, d).select(*WHOLE, *[F.round(c, 4).alias(c) for c in ROUNDED])
+    # the shift keeps quotients that end on a half away from the rounding edge, here and in the SQL
+    return aggregated(spark, d).select(*WHOLE, *[F.round(F.col(c) + 1e-8, 4).alias(c) for c in ROUNDED])
 
 
 @query("prj13_weighted_score", f"WITH {AGG_SQL} SELECT ticker, round(bullish_score, 6) AS bullish_score, round(bearish_score, 6) AS bearish_score, round(0.12::DOUBLE * {_clip('bullish_sweep_count', '0.0::DOUBLE', '8.0::DOUBLE')} * 10, 6) AS bullish_sweep_contrib FROM agg")
