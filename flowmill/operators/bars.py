@@ -141,3 +141,73 @@ def forward_returns(horizons: tuple[int, ...] = (1, 3, 5, 10, 20)) -> dict[str,
 def drawdown(c: str = "close") -> Column:
     peak = F.max(c).over(rows(Window.unboundedPreceding, 0))
     return (peak - F.col(c)) / peak
+
+
+EMAS = ("ema20", "ema50")
+
+
+def ema_touches(multiple: float = 0.3, bars: int = 5) -> dict[str, Column]:
+    """A bar of the last five reached an EMA and held it, and this bar is still near an EMA (one ATR) or has moved
+    on by three ATR at most; mirrored for rallies."""
+    a, c = F.col("atr14"), F.col("close")
+    near = (F.abs(c - F.col("ema20")) <= a) | (F.abs(c - F.col("ema50")) <= a)
+    out = {}
+    for name, touch, beyond in (
+        ("pullback_to_ema", lambda e: (F.col("low") <= e + multiple * a) & (c >= e), lambda e: (c > e) & (c - e <= 3 * a)),
+        ("rally_to_ema", lambda e: (F.col("high") >= e - multiple * a) & (c <= e), lambda e: (c < e) & (e - c <= 3 * a)),
+    ):
+        hit = F.lit(False)
+        for e in EMAS:
+            some = F.max((touch(F.col(e)) & (a > 0)).cast("int")).over(rows(-(bars - 1), 0)) == 1
+            hit = hit | (some & (near | beyond(F.col(e))))
+        out[name] = (F.col("i") >= bars - 1) & (a > 0) & hit
+    return out
+
+
+def retests() -> dict[str, Column]:
+    """The bar before tested an EMA and closed near it, and this bar confirms: at least half an ATR long, closing in
+    its outer 35 percent."""
+    span, a = F.col("high") - F.col("low"), F.col("atr14")
+    lag = lambda x: F.lag(x).over(W)
+    pa = lag("atr14")
+    tested = {s: F.lit(False) for s in ("long", "short")}
+    for e in EMAS:
+        close_by = F.abs(lag("close") - lag(e)) <= 0.75 * pa
+        tested["long"] = tested["long"] | ((lag("low") <= lag(e) + 0.3 * pa) & close_by)
+        tested["short"] = tested["short"] | ((lag("high") >= lag(e) - 0.3 * pa) & close_by)
+    ok = (F.col("i") >= 2) & (a > 0) & (pa > 0) & (span >= 0.5 * a)
+    up = ok & (F.col("close") > F.col("open")) & (F.try_divide(F.col("close") - F.col("low"), F.nullif(span, F.lit(0.0))) >= 0.65) & tested["long"]
+    down = ok & (F.col("close") < F.col("open")) & (F.try_divide(F.col("high") - F.col("close"), F.nullif(span, F.lit(0.0))) >= 0.65) & tested["short"]
+    return {"retest_long": F.coalesce(up, F.lit(False)), "retest_short": F.coalesce(down, F.lit(False))}
+
+
+def bounces(multiple: float = 1.0, bars: int = 5, least: int = 1) -> dict[str, Column]:
+    """Counter-trend bars that reached an EMA in the bars before, then a reversal bar."""
+    a = F.col("atr14")
+    red = (F.col("close") < F.col("open")) & (a > 0) & (F.col("low") <= F.greatest(*[F.col(e) for e in EMAS]) + multiple * a)
+    green = (F.col("close") > F.col("open")) & (a > 0) & (F.col("high") >= F.least(*[F.col(e) for e in EMAS]) - multiple * a)
+    n = lambda x: F.sum(x.cast("int")).over(rows(-bars, -1))
+    known = F.col("i") >= bars
+    return {"bounce_long": F.coalesce(known & (F.col("close") > F.col("open")) & (n(red) >= least), F.lit(False)), "bounce_short": F.coalesce(known & (F.col("close") < F.col("open")) & (n(green) >= least), F.lit(False))}
+
+
+def last_levels(b: DataFrame, lookback: int = 20, order: int = 3, band: float = 0.5) -> DataFrame:
+    """Support and resistance of each ticker's newest bar: pivots among the `lookback` bars before it, chained into
+    clusters while the gap is at most `band` ATR, the cluster with most touches (the lowest on ties) below or above
+    the close, else the window's extreme."""
+    w = Window.partitionBy("ticker")
+    ranked = b.withColumn("_k", F.row_number().over(w.orderBy(F.desc("date"))))
+    last = ranked.filter("_k = 1").select("ticker", "date", "close", F.col("atr14").alias("_atr"))
+    recent = ranked.filter(F.col("_k").between(2, lookback + 1)).select("ticker", "date", "high", "low")
+    full = F.count("*").over(rows(-order, order)) == 2 * order + 1
+    marked = recent.withColumns({"_hi": full & (F.col("high") == F.max("high").over(rows(-order, order))), "_lo": full & (F.col("low") == F.min("low").over(rows(-order, order)))})
+    sides = F.array(F.struct(F.lit("lo").alias("side"), F.when(F.col("_lo"), F.col("low")).alias("p")), F.struct(F.lit("hi").alias("side"), F.when(F.col("_hi"), F.col("high")).alias("p")))
+    p = marked.select("ticker", F.inline(sides)).filter("p is not null").join(last, "ticker").filter("_atr > 0")
+    s = Window.partitionBy("ticker", "side").orderBy("p")
+    p = p.withColumn("_new", F.coalesce((F.col("p") - F.lag("p").over(s) > band * F.col("_atr")).cast("int"), F.lit(1)))
+    p = p.withColumn("_g", F.sum("_new").over(s.rowsBetween(Window.unboundedPreceding, 0)))
+    c = p.groupBy("ticker", "side", "_g", "close").agg(F.avg("p").alias("level"), F.count("*").alias("touches"))
+    fits = ((F.col("side") == "lo") & (F.col("level") < F.col("close"))) | ((F.col("side") == "hi") & (F.col("level") > F.col("close")))
+    best = c.filter(fits).groupBy("ticker").agg(*[F.max(F.when(F.col("side") == x, F.struct("touches", (-F.col("level")).alias("l")))).alias(f"_{x}") for x in ("lo", "hi")])
+    ends = recent.groupBy("ticker").agg(F.min("low").alias("_min"), F.max("high").alias("_max"), F.count("*").alias("_n")).filter(F.col("_n") == lookback)
+    return last.join(ends, "ticker").join(best, "ticker", "left").select("ticker", "date", F.coalesce(-F.col("_lo.l"), "_min").alias("support"), F.coalesce(-F.col("_hi.l"), "_max").alias("resistance"))
