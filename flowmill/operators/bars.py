@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ATR_ALPHA = 1 / 14
-W = Window.partitionBy("ticker").orderBy("date")
+
+def W():
+    """Bars of a ticker in order of date."""
+    return Window.partitionBy("ticker").orderBy("date")
+
 
 
 def rows(a: int, b: int):
-    return W.rowsBetween(a, b)
+    return W().rowsBetween(a, b)
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -23,10 +27,10 @@ def clean(df: DataFrame) -> DataFrame:
     return out.withColumn("volume", F.col("volume").cast("long"))
 
 
-def ewm(x: Column, alpha: float, i: Column = F.col("i")) -> Column:
-    """Exponential mean, unadjusted, of x over the bars so far: the closed form of the recursion, one running sum.
-    i counts bars from 0. Good for some thousand bars; (1 - alpha)^-i then leaves the range of a double."""
-    q = 1 - alpha
+def ewm(x: Column, alpha: float) -> Column:
+    """Exponential mean, unadjusted, of x over the bars so far: the closed form of the recursion, one running sum
+    over the bar number i, which counts from 0. Good for some thousand bars; (1 - alpha)^-i then leaves the range of a double."""
+    q, i = 1 - alpha, F.col("i")
     first = F.first(x).over(rows(Window.unboundedPreceding, 0))
     part = F.sum(F.when(i == 0, 0.0).otherwise(x * F.pow(F.lit(q), -i))).over(rows(Window.unboundedPreceding, 0))
     return F.pow(F.lit(q), i) * (first + alpha * part)
@@ -34,8 +38,8 @@ def ewm(x: Column, alpha: float, i: Column = F.col("i")) -> Column:
 
 def features(bars: DataFrame) -> DataFrame:
     """Bar number, true range, ATR14, EMA20/50 with slopes, relative volume, ADX and Wilder RSI14."""
-    b = bars.withColumn("i", F.row_number().over(W) - 1)
-    before, dh, dl = F.lag("close").over(W), F.col("high") - F.lag("high").over(W), F.lag("low").over(W) - F.col("low")
+    b = bars.withColumn("i", F.row_number().over(W()) - 1)
+    before, dh, dl = F.lag("close").over(W()), F.col("high") - F.lag("high").over(W()), F.lag("low").over(W()) - F.col("low")
     b = b.withColumns({
         "prev_close": before, "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)),
         "_up": F.greatest(dh, F.lit(0.0)), "_down": F.greatest(dl, F.lit(0.0)), "vol_ma20": F.when(F.count("volume").over(rows(-19, 0)) == 20, F.avg("volume").over(rows(-19, 0))),
@@ -54,7 +58,7 @@ def features(bars: DataFrame) -> DataFrame:
     plus, minus = 100 * F.try_divide("_sp", "atr14"), 100 * F.try_divide("_sm", "atr14")
     b = b.withColumn("_dx", F.abs(plus - minus) / F.when(plus + minus == 0, 1e-9).otherwise(plus + minus) * 100)
     b = b.withColumns({
-        "adx": ewm(F.coalesce("_dx", F.lit(0.0)), ATR_ALPHA), "ema20_slope": F.try_divide(F.col("ema20") - F.lag("ema20", 5).over(W), F.col("atr14")), "ema50_slope": F.try_divide(F.col("ema50") - F.lag("ema50", 5).over(W), F.col("atr14")),
+        "adx": ewm(F.coalesce("_dx", F.lit(0.0)), ATR_ALPHA), "ema20_slope": F.try_divide(F.col("ema20") - F.lag("ema20", 5).over(W()), F.col("atr14")), "ema50_slope": F.try_divide(F.col("ema50") - F.lag("ema50", 5).over(W()), F.col("atr14")),
         "rsi14": F.when(F.col("i") >= 14, 100 - 100 / (1 + F.try_divide("_g", F.nullif("_l", F.lit(0.0))))),
     })
     return b.drop("_up", "_down", "_plus", "_minus", "_sp", "_sm", "_dx", "_gain", "_loss", "_g", "_l")
@@ -115,7 +119,7 @@ def flags(bars: int = 4, most: float = 1.5) -> dict[str, Column]:
 
 def with_clean_trend(b: DataFrame) -> DataFrame:
     """Six of the last ten bars with higher lows or lower highs; sustained adds the EMA stack."""
-    b = b.withColumns({"_higher": (F.col("low") > F.lag("low").over(W)).cast("int"), "_lower": (F.col("high") < F.lag("high").over(W)).cast("int")})
+    b = b.withColumns({"_higher": (F.col("low") > F.lag("low").over(W())).cast("int"), "_lower": (F.col("high") < F.lag("high").over(W())).cast("int")})
     enough = F.col("i") >= 10
     long_, short = enough & (F.sum("_higher").over(rows(-9, 0)) >= 6), enough & (F.sum("_lower").over(rows(-9, 0)) >= 6)
     c, e20, e50 = F.col("close"), F.col("ema20"), F.col("ema50")
@@ -134,8 +138,8 @@ def relative_strength(bars: DataFrame, index: DataFrame, windows: tuple[int, ...
 def forward_returns(horizons: tuple[int, ...] = (1, 3, 5, 10, 20)) -> dict[str, Column]:
     """Close-to-close returns h bars ahead, clamped at the series' end; null on the last bar."""
     last = F.last("close").over(rows(0, Window.unboundedFollowing))
-    more = F.lead("close").over(W).isNotNull()
-    return {f"forward_return_{h}": F.when(more & (F.col("close") > 0), F.coalesce(F.lead("close", h).over(W), last) / F.col("close") - 1) for h in horizons}
+    more = F.lead("close").over(W()).isNotNull()
+    return {f"forward_return_{h}": F.when(more & (F.col("close") > 0), F.coalesce(F.lead("close", h).over(W()), last) / F.col("close") - 1) for h in horizons}
 
 
 def drawdown(c: str = "close") -> Column:
@@ -168,7 +172,7 @@ def retests() -> dict[str, Column]:
     """The bar before tested an EMA and closed near it, and this bar confirms: at least half an ATR long, closing in
     its outer 35 percent."""
     span, a = F.col("high") - F.col("low"), F.col("atr14")
-    lag = lambda x: F.lag(x).over(W)
+    lag = lambda x: F.lag(x).over(W())
     pa = lag("atr14")
     tested = {s: F.lit(False) for s in ("long", "short")}
     for e in EMAS:

@@ -166,7 +166,7 @@ def win27(spark, d):
 s AS (SELECT ticker, date, k, stddev_samp(r) {rows('4 PRECEDING', 'CURRENT ROW')} AS s5, stddev_samp(r) {rows('19 PRECEDING', 'CURRENT ROW')} AS s20 FROM r)
 SELECT ticker, date, round(s5 / nullif(s20, 0), 6) AS vol_regime FROM s WHERE k >= 26""")
 def win29(spark, d):
-    r = bars(spark, d).withColumn("r", F.col("close") / F.lag("close").over(B.W) - 1).withColumn("k", F.row_number().over(B.W))
+    r = bars(spark, d).withColumn("r", F.col("close") / F.lag("close").over(B.W()) - 1).withColumn("k", F.row_number().over(B.W()))
     s = r.select("ticker", "date", "k", F.round(F.try_divide(F.stddev_samp("r").over(B.rows(-4, 0)), F.nullif(F.stddev_samp("r").over(B.rows(-19, 0)), F.lit(0.0))), 6).alias("vol_regime"))
     return s.filter("k >= 26").drop("k")
 
@@ -185,7 +185,7 @@ def jon9(spark, d):
 @query("jon11_forward_bar", f"""WITH {INDEX_SQL}, n AS (SELECT ticker, date, close, row_number() {WIN} AS k FROM bars), x AS (SELECT date, close AS ic FROM index_bars)
 SELECT a.ticker, a.date, round((b.close / a.close - 1) - (y.ic / x.ic - 1), 6) + 0 AS excess_5 FROM n a JOIN n b ON a.ticker = b.ticker AND b.k = a.k + 5 JOIN x ON x.date = a.date JOIN x y ON y.date = b.date""")
 def jon11(spark, d):
-    b = bars(spark, d).select("ticker", "date", "close", F.lead(F.struct("date", "close"), 5).over(B.W).alias("n")).filter("n is not null")
+    b = bars(spark, d).select("ticker", "date", "close", F.lead(F.struct("date", "close"), 5).over(B.W()).alias("n")).filter("n is not null")
     x = index_bars(spark, d).select(F.col("date").alias("xd"), F.col("close").alias("ic"))
     y = x.select(F.col("xd").alias("yd"), F.col("ic").alias("jc"))
     j = b.join(x, b["date"] == x["xd"]).join(y, F.col("n.date") == y["yd"])

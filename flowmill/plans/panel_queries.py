@@ -14,7 +14,6 @@ from .registry import query
 from .surface_queries import CHAIN_SQL, daily, spot, strikes
 from .tracker_queries import TRACK_SQL, board
 
-Z = F.lit(0.0)
 
 
 @query("prj15_screener_derivations", f"""WITH {SNAPSHOTS_SQL}, l AS (SELECT *, lag(call_volume + put_volume) OVER w AS before, avg(call_volume + put_volume) OVER (PARTITION BY ticker ORDER BY snapshot_date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS a3 FROM snapshots WINDOW w AS (PARTITION BY ticker ORDER BY snapshot_date))
@@ -23,7 +22,7 @@ def prj15(spark, d):
     w = Window.partitionBy("ticker").orderBy("snapshot_date")
     v = (F.col("call_volume") + F.col("put_volume")).cast("double")
     s = snapshots(spark, d).withColumn("v", v).withColumn("b", F.lag("v").over(w)).withColumn("a3", F.avg("v").over(w.rowsBetween(-3, -1)))
-    return s.select("ticker", "snapshot_date", (F.round(F.try_divide(F.col("v") - F.col("b"), F.nullif("b", Z)) * 100, 4) + Z).alias("volume_change_pct"), F.round(F.try_divide("v", F.nullif("a3", Z)) + 1e-8, 4).alias("volume_vs_3"), "net_premium")
+    return s.select("ticker", "snapshot_date", (F.round(F.try_divide(F.col("v") - F.col("b"), F.nullif("b", F.lit(0.0))) * 100, 4) + F.lit(0.0)).alias("volume_change_pct"), F.round(F.try_divide("v", F.nullif("a3", F.lit(0.0))) + 1e-8, 4).alias("volume_vs_3"), "net_premium")
 
 
 IV_SQL = "CASE WHEN iv IS NULL OR iv <= 5 THEN 0 WHEN iv <= 15 THEN (iv - 5) / 10 WHEN iv <= 45 THEN 1 + (iv - 15) / 30 * 1.5::DOUBLE WHEN iv <= 60 THEN 2.5::DOUBLE - (iv - 45) / 15 WHEN iv <= 75 THEN 1.5::DOUBLE - (iv - 60) / 15 WHEN iv <= 100 THEN 0.5::DOUBLE - (iv - 75) / 25 * 0.5::DOUBLE ELSE 0 END"
@@ -45,7 +44,7 @@ def _context(spark, d):
     x = snapshots(spark, d).withColumn("direction", F.when(b >= s, "LONG").otherwise("SHORT"))
     k = F.col("trades") % 3
     regime = F.when(k == 0, "NEGATIVE").when(k == 1, "NEUTRAL").otherwise("POSITIVE")
-    score = C.options_score(F.col("direction") == "LONG", regime, F.col("sweep_share") * 10, F.col("call_volume"), F.col("put_volume"), F.col("put_call_ratio"), F.try_divide(F.greatest(b, s), F.nullif(b + s, Z)), F.col("iv_rank"))
+    score = C.options_score(F.col("direction") == "LONG", regime, F.col("sweep_share") * 10, F.col("call_volume"), F.col("put_volume"), F.col("put_call_ratio"), F.try_divide(F.greatest(b, s), F.nullif(b + s, F.lit(0.0))), F.col("iv_rank"))
     return x.withColumn("options_score", score)
 
 
@@ -83,7 +82,7 @@ def prj19(spark, d):
 SELECT ticker, snapshot_date, round(lottery / nullif(total, 0), 6) AS lottery_share, round(swing / nullif(total, 0), 6) AS swing_share, round(leap / nullif(total, 0), 6) AS leap_share, CASE WHEN greatest(lottery, swing, leap) <= 0 THEN NULL WHEN swing >= lottery AND swing >= leap THEN 'swing' WHEN lottery >= leap THEN 'lottery' ELSE 'leap' END AS dominant FROM m""")
 def prj25(spark, d):
     g = {b: F.col(f"{b}_bullish_premium") + F.col(f"{b}_bearish_premium") for b in ("lottery", "swing", "leap")}
-    total = F.nullif(F.col("total_bullish_premium") + F.col("total_bearish_premium"), Z)
+    total = F.nullif(F.col("total_bullish_premium") + F.col("total_bearish_premium"), F.lit(0.0))
     best = F.array_max(F.array(*[F.struct(v.alias("g"), F.lit(b).alias("b")) for b, v in g.items()]))
     return snapshots(spark, d).select("ticker", "snapshot_date", *[F.round(F.try_divide(v, total), 6).alias(f"{b}_share") for b, v in g.items()], F.when(best["g"] > 0, best["b"]).alias("dominant"))
 
@@ -168,15 +167,15 @@ SCAN_SQL = FLOW_SQL + ", scans AS (SELECT ticker, direction, date_trunc('month',
 @query("agg17_trajectory", f"WITH {SCAN_SQL}, a AS (SELECT ticker, direction, count(*) AS scans_active, arg_min(premium, scan) AS first_premium, arg_max(premium, scan) AS last_premium FROM scans GROUP BY 1, 2) SELECT *, round((last_premium - first_premium) / nullif(first_premium, 0), 6) + 0 AS growth FROM a")
 def agg17(spark, d):
     scans = flow(spark, d).filter("direction is not null").groupBy("ticker", "direction", F.date_trunc("month", "event_ts").alias("scan")).agg(F.round(F.sum("premium"), 2).alias("premium"))
-    return N.trajectory(scans).withColumn("growth", F.round("growth", 6) + Z)
+    return N.trajectory(scans).withColumn("growth", F.round("growth", 6) + F.lit(0.0))
 
 
 @query("agg18_market_tide", f"""WITH {FLOW_SQL} SELECT event_date, round(coalesce(sum(premium * direction_confidence) FILTER (direction = 'LONG'), 0) / nullif(sum(premium * direction_confidence), 0), 6) AS bullish_ratio,
   round((coalesce(sum(CASE direction WHEN 'LONG' THEN premium WHEN 'SHORT' THEN -premium END), 0) + sum(premium)) / (2 * sum(premium)), 6) AS tide FROM flow GROUP BY 1""")
 def agg18(spark, d):
     p, w, way = F.col("premium"), F.col("premium") * F.col("direction_confidence"), F.col("direction")
-    net = F.coalesce(F.sum(F.when(way == "LONG", p).when(way == "SHORT", -p)), Z)
-    return flow(spark, d).groupBy("event_date").agg(F.round(F.try_divide(F.coalesce(F.sum(F.when(way == "LONG", w)), Z), F.nullif(F.sum(w), Z)), 6).alias("bullish_ratio"), F.round((net + F.sum(p)) / (2 * F.sum(p)), 6).alias("tide"))
+    net = F.coalesce(F.sum(F.when(way == "LONG", p).when(way == "SHORT", -p)), F.lit(0.0))
+    return flow(spark, d).groupBy("event_date").agg(F.round(F.try_divide(F.coalesce(F.sum(F.when(way == "LONG", w)), F.lit(0.0)), F.nullif(F.sum(w), F.lit(0.0))), 6).alias("bullish_ratio"), F.round((net + F.sum(p)) / (2 * F.sum(p)), 6).alias("tide"))
 
 
 @query("agg22_rejection_audit", f"WITH {REJ_SQL} SELECT reason, count(*) AS n, count(DISTINCT ticker) AS tickers, round(avg(flow_score_raw), 4) AS mean_score, round(median(flow_score_raw), 4) AS median_score, max(flow_score_raw) AS max_score FROM rej GROUP BY 1")
@@ -363,14 +362,14 @@ SELECT ticker, snapshot_date, round((trades - mu) / nullif(sd, 0), 6) + 0 AS z3
 def win30(spark, d):
     w = Window.partitionBy("ticker").orderBy("snapshot_date").rowsBetween(-3, -1)
     s = snapshots(spark, d).withColumns({"mu": F.avg("trades").over(w), "sd": F.stddev_samp("trades").over(w), "n": F.count("*").over(w)})
-    return s.filter("n = 3").select("ticker", "snapshot_date", (F.round(F.try_divide(F.col("trades") - F.col("mu"), F.nullif("sd", Z)), 6) + Z).alias("z3"))
+    return s.filter("n = 3").select("ticker", "snapshot_date", (F.round(F.try_divide(F.col("trades") - F.col("mu"), F.nullif("sd", F.lit(0.0))), 6) + F.lit(0.0)).alias("z3"))
 
 
 @query("win31_iv_rank_delta", f"WITH {SNAPSHOTS_SQL}, w AS (SELECT * FROM snapshots WHERE snapshot_date >= DATE '1998-01-05' AND snapshot_date <= DATE '1998-03-02') SELECT ticker, arg_max(iv_rank, snapshot_date) AS current_iv, CASE WHEN count(*) >= 2 THEN round(arg_max(iv_rank, snapshot_date) - arg_min(iv_rank, snapshot_date), 2) + 0 END AS delta, count(*) AS samples FROM w GROUP BY 1")
 def win31(spark, d):
     s = snapshots(spark, d).filter(F.col("snapshot_date").between(F.lit("1998-01-05").cast("date"), F.lit("1998-03-02").cast("date")))
     a, b = F.max_by("iv_rank", "snapshot_date"), F.min_by("iv_rank", "snapshot_date")
-    return s.groupBy("ticker").agg(a.alias("current_iv"), F.when(F.count("*") >= 2, F.round(a - b, 2) + Z).alias("delta"), F.count("*").alias("samples"))
+    return s.groupBy("ticker").agg(a.alias("current_iv"), F.when(F.count("*") >= 2, F.round(a - b, 2) + F.lit(0.0)).alias("delta"), F.count("*").alias("samples"))
 
 
 @query("win32_streak_trend", f"""WITH {SNAPSHOTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY snapshot_date DESC) AS r FROM snapshots), a AS (SELECT ticker, count(*) AS n, avg(sweep_share) AS mean_flow, regr_slope(sweep_share, -r) AS slope FROM r WHERE r <= 5 GROUP BY 1)
@@ -386,7 +385,7 @@ def win28(spark, d):
     k = flow(spark, d).select("ticker", (F.row_number().over(Window.partitionBy("ticker").orderBy("event_ts", *KEY, "premium")) - 1).cast("double").alias("x"), y.alias("y"))
     s = k.groupBy("ticker").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("b"), F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"), F.regr_syy("y", "x").alias("syy"))
     t = F.col("b") / F.sqrt((F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / (F.col("n") - 2) / F.col("sxx"))
-    return s.select("ticker", "n", (F.round("b", 4) + Z).alias("slope"), (F.round(t, 4) + Z).alias("t_stat"))
+    return s.select("ticker", "n", (F.round("b", 4) + F.lit(0.0)).alias("slope"), (F.round(t, 4) + F.lit(0.0)).alias("t_stat"))
 
 
 @query("sta15_repeat_gap", f"WITH {FLOW_SQL}, g AS (SELECT ticker, event_date - lag(event_date) OVER (PARTITION BY ticker ORDER BY event_date) AS gap FROM (SELECT DISTINCT ticker, event_date FROM flow)) SELECT ticker, round(avg(gap), 6) AS mean_gap FROM g GROUP BY 1")

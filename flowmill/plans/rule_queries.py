@@ -14,7 +14,6 @@ from .registry import query
 from .surface_queries import TENOR_SQL, tenors
 from .tracker_queries import PLAN_SQL, TRACK_SQL, board, replayed
 
-Z = F.lit(0.0)
 
 
 def _touch(name: str, touch: str, beyond: str) -> str:
@@ -87,11 +86,11 @@ def jon14(spark, d):
     return f.join(F.broadcast(bands), (f["adx"] >= bands["lo"]) & (f["adx"] < bands["hi"])).select("ticker", "date", "tier")
 
 
-@query("jon16_promote_new", f"WITH {TRACK_SQL}, s AS (SELECT DISTINCT ticker FROM board WHERE as_of = DATE '1998-01-12'), n AS (SELECT * FROM board WHERE as_of = DATE '1998-06-15' AND conviction_score >= 3 AND ticker NOT IN (SELECT ticker FROM s)) SELECT ticker, direction, conviction_score FROM n QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY conviction_score DESC) = 1")
+@query("jon16_promote_new", f"WITH {TRACK_SQL}, s AS (SELECT DISTINCT ticker FROM board WHERE as_of = DATE '1998-01-12' AND conviction_score >= 4), n AS (SELECT * FROM board WHERE as_of = DATE '1998-06-15' AND conviction_score >= 3 AND ticker NOT IN (SELECT ticker FROM s)) SELECT ticker, direction, conviction_score FROM n QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY conviction_score DESC) = 1")
 def jon16(spark, d):
     b = board(spark, d)
     day = lambda x: F.col("as_of") == F.lit(x).cast("date")
-    have = b.filter(day("1998-01-12")).select("ticker").distinct()
+    have = b.filter(day("1998-01-12") & (F.col("conviction_score") >= 4)).select("ticker").distinct()
     new = b.filter(day("1998-06-15") & (F.col("conviction_score") >= 3)).join(have, "ticker", "left_anti")
     r = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("conviction_score")))
     return new.withColumn("_r", r).filter("_r = 1").select("ticker", "direction", "conviction_score")
@@ -105,7 +104,7 @@ def agg20(spark, d):
 
 @query("agg29_event_coverage", f"WITH {FLOW_SQL} SELECT sector, round(avg(CASE WHEN open_interest IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS oi_coverage, round(coalesce(sum(premium) FILTER (execution_side = 'ASK'), 0) / sum(premium), 6) AS ask_mix FROM flow GROUP BY 1")
 def agg29(spark, d):
-    return flow(spark, d).groupBy("sector").agg(F.round(F.avg(F.col("open_interest").isNotNull().cast("double")), 6).alias("oi_coverage"), F.round(F.coalesce(F.sum(F.when(F.col("execution_side") == "ASK", F.col("premium"))), Z) / F.sum("premium"), 6).alias("ask_mix"))
+    return flow(spark, d).groupBy("sector").agg(F.round(F.avg(F.col("open_interest").isNotNull().cast("double")), 6).alias("oi_coverage"), F.round(F.coalesce(F.sum(F.when(F.col("execution_side") == "ASK", F.col("premium"))), F.lit(0.0)) / F.sum("premium"), 6).alias("ask_mix"))
 
 
 @query("opt6_latest_row", f"WITH {TENOR_SQL} SELECT ticker, arg_max(days, days) AS days, arg_max(volatility, days) AS volatility FROM tn WHERE days <= 100 GROUP BY 1")
@@ -139,8 +138,8 @@ def sta17(spark, d):
 
 @query("sta21_matured_labels", f"WITH {FEAT_SQL}, f AS (SELECT ticker, date, close, CASE WHEN i % 2 = 0 THEN 0.5::DOUBLE END AS label, lead(close, 5) {WIN} AS c5 FROM feat) SELECT ticker, date, round(coalesce(label, c5 / close - 1), 6) + 0 AS label FROM f WHERE label IS NOT NULL OR c5 IS NOT NULL")
 def sta21(spark, d):
-    f = feat(spark, d).select("ticker", "date", "close", F.when(F.col("i") % 2 == 0, 0.5).alias("label"), F.lead("close", 5).over(B.W).alias("c5"))
-    return f.filter("label is not null or c5 is not null").select("ticker", "date", (F.round(F.coalesce("label", F.col("c5") / F.col("close") - 1), 6) + Z).alias("label"))
+    f = feat(spark, d).select("ticker", "date", "close", F.when(F.col("i") % 2 == 0, 0.5).alias("label"), F.lead("close", 5).over(B.W()).alias("c5"))
+    return f.filter("label is not null or c5 is not null").select("ticker", "date", (F.round(F.coalesce("label", F.col("c5") / F.col("close") - 1), 6) + F.lit(0.0)).alias("label"))
 
 
 @query("sta12_block_bootstrap")
