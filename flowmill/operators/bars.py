@@ -131,7 +131,7 @@ def relative_strength(bars: DataFrame, index: DataFrame, windows: tuple[int, ...
     ret = lambda k, w: F.col("close") / F.lag("close", k).over(w) - 1
     wi = Window.orderBy("date")  # the benchmark: one row per date
     idx = index.select("date", *[ret(k, wi).alias(f"_x{k}") for k in windows])
-    own = bars.select("ticker", "date", *[ret(k, W).alias(f"_r{k}") for k in windows])
+    own = bars.select("ticker", "date", *[ret(k, W()).alias(f"_r{k}") for k in windows])
     return own.join(idx, "date", "left").select("ticker", "date", *[F.round((F.col(f"_r{k}") - F.col(f"_x{k}")) * 100, 2).alias(f"rs_{k}_pct") for k in windows])
 
 
