@@ -44,4 +44,23 @@ def growth_label(first: Column, latest: Column) -> Column:
 
 
 def premium_label(bps: Column) -> Column:
-    return F.when(bps.isNull(), "none").when(bps >= 10, "extreme").when(bps >= 5, "heavy").when(bps >= 1, "notable").otherwise("light")
+    """Bands of premium over market cap in basis points."""
+    return F.when(bps.isNull(), "none").when(bps > 5, "Outsized").when(bps >= 1, "Notable").when(bps >= 0.1, "Normal").otherwise("Minor")
+
+
+def vehicle(direction: Column, iv_rank: Column, days_to_earnings: Column, adv: Column) -> Column:
+    """Stock where options are illiquid, volatility is middling or unknown; a debit spread where it is high or an
+    event is near; else a long option."""
+    iv, near = F.coalesce(iv_rank, F.lit(-1.0)), F.coalesce(days_to_earnings, F.lit(999)) <= 5
+    option = F.when(direction == "LONG", "LONG_CALL").otherwise("LONG_PUT")
+    known = direction.isin("LONG", "SHORT")
+    return F.when(F.coalesce(adv < 20_000_000, F.lit(False)) | ~known, "STOCK").when((near & (iv >= 60)) | (iv >= 70), "DEBIT_SPREAD").when(iv.between(0, 29.999999), option).otherwise("STOCK")
+
+
+def promote_reason(grade: Column, score: Column, direction: Column, close: Column, atr: Column, ema20: Column, least: float = 8.0) -> Column:
+    """Why a graded row is not promoted; empty where it is."""
+    return (
+        F.when(~F.upper(F.coalesce(grade, F.lit(""))).isin("A", "A+"), F.concat(F.lit("grade_"), F.upper(F.coalesce(grade, F.lit(""))), F.lit("_not_promotable")))
+        .when(F.coalesce(score, F.lit(0.0)) < least, "score_below_floor").when(close.isNull(), "no_ohlcv").when((atr <= 0) | (close <= 0), "atr_or_close_invalid")
+        .when((ema20 > 0) & (direction == "BULLISH") & (close < ema20), "long_below_ema20_trend_failed").when((ema20 > 0) & (direction == "BEARISH") & (close > ema20), "short_above_ema20_trend_failed").otherwise("")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scores as C
 from ..operators import bars as B
 from ..operators import stats as S
 from ..sources.fixtures import FLOW_SQL, SNAPSHOTS_SQL, snapshots, table
@@ -152,3 +153,38 @@ def sta12(spark, d):
     weight = sum(((u > c).cast("int") for c in cuts[1:]), (u > cuts[0]).cast("int"))
     draws = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(1999)))).withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
     return draws.agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"))
+
+
+@query("prj32_premium_label", f"WITH {TRACK_SQL} SELECT as_of, ticker, CASE WHEN prem_mcap_bps > 5 THEN 'Outsized' WHEN prem_mcap_bps >= 1 THEN 'Notable' WHEN prem_mcap_bps >= 0.1 THEN 'Normal' ELSE 'Minor' END AS label FROM board")
+def prj32(spark, d):
+    return board(spark, d).select("as_of", "ticker", C.premium_label(F.col("prem_mcap_bps")).alias("label"))
+
+
+@query("prj21_vehicle", f"""WITH {SNAPSHOTS_SQL}, v AS (SELECT ticker, snapshot_date, CASE WHEN net_premium > 0 THEN 'LONG' WHEN net_premium < 0 THEN 'SHORT' ELSE 'NEUTRAL' END AS direction, iv_rank AS iv, CAST(trades % 9 AS INT) AS days, marketcap / 10 AS adv FROM snapshots)
+SELECT ticker, snapshot_date, CASE WHEN adv < 20000000 OR direction = 'NEUTRAL' THEN 'STOCK' WHEN (days <= 5 AND iv >= 60) OR iv >= 70 THEN 'DEBIT_SPREAD' WHEN iv >= 0 AND iv < 30 THEN CASE direction WHEN 'LONG' THEN 'LONG_CALL' ELSE 'LONG_PUT' END ELSE 'STOCK' END AS vehicle FROM v""")
+def prj21(spark, d):
+    way = F.when(F.col("net_premium") > 0, "LONG").when(F.col("net_premium") < 0, "SHORT").otherwise("NEUTRAL")
+    return snapshots(spark, d).select("ticker", "snapshot_date", C.vehicle(way, F.col("iv_rank"), (F.col("trades") % 9).cast("int"), F.col("marketcap") / 10).alias("vehicle"))
+
+
+@query("prj28_atr_plan_gate", f"""WITH {FEAT_SQL}, g AS (SELECT *, CASE i % 4 WHEN 0 THEN 'A+' WHEN 1 THEN 'a' WHEN 2 THEN 'B' ELSE 'A' END AS grade, 7 + (i % 5) * 0.5::DOUBLE AS score, CASE WHEN (i // 4) % 2 = 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction FROM feat)
+SELECT ticker, date, CASE WHEN upper(grade) NOT IN ('A', 'A+') THEN 'grade_' || upper(grade) || '_not_promotable' WHEN score < 8 THEN 'score_below_floor' WHEN atr14 <= 0 OR close <= 0 THEN 'atr_or_close_invalid' WHEN direction = 'BULLISH' AND close < ema20 THEN 'long_below_ema20_trend_failed' WHEN direction = 'BEARISH' AND close > ema20 THEN 'short_above_ema20_trend_failed' ELSE '' END AS reason,
+  round(close + CASE direction WHEN 'BULLISH' THEN -atr14 ELSE atr14 END, 3) AS stop_price, round(close + CASE direction WHEN 'BULLISH' THEN 3 ELSE -3 END * atr14, 3) AS target_2 FROM g WHERE i >= 5""")
+def prj28(spark, d):
+    i = F.col("i")
+    g = F.when(i % 4 == 0, "A+").when(i % 4 == 1, "a").when(i % 4 == 2, "B").otherwise("A")
+    way = F.when(F.floor(i / 4) % 2 == 0, "BULLISH").otherwise("BEARISH")
+    sign = F.when(way == "BULLISH", 1).otherwise(-1)
+    f = feat(spark, d).filter("i >= 5")
+    reason = C.promote_reason(g, 7 + (i % 5) * 0.5, way, F.col("close"), F.col("atr14"), F.col("ema20"))
+    return f.select("ticker", "date", reason.alias("reason"), F.round(F.col("close") - sign * F.col("atr14"), 3).alias("stop_price"), F.round(F.col("close") + sign * 3 * F.col("atr14"), 3).alias("target_2"))
+
+
+@query("jon12_blank_fill", f"WITH {TRACK_SQL}, w AS (SELECT ticker, CASE WHEN CAST(substr(ticker, 2) AS INT) % 2 = 0 THEN ' ' ELSE 'kept' END AS checks FROM (SELECT DISTINCT ticker FROM board)), r AS (SELECT ticker, conviction_grade AS checks FROM board QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) = 1) SELECT w.ticker, coalesce(nullif(trim(w.checks), ''), r.checks) AS checks FROM w LEFT JOIN r USING (ticker)")
+def jon12(spark, d):
+    from ..operators.panels import latest_per_key
+
+    b = board(spark, d)
+    w = b.select("ticker").distinct().withColumn("own", F.when(F.substring("ticker", 2, 9).cast("int") % 2 == 0, " ").otherwise("kept"))
+    r = latest_per_key(b, ["ticker"], F.desc("as_of")).select("ticker", F.col("conviction_grade").alias("last"))
+    return w.join(r, "ticker", "left").select("ticker", F.coalesce(F.nullif(F.trim("own"), F.lit("")), "last").alias("checks"))
