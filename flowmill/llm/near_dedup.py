@@ -135,12 +135,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     facts = cut(classes.join(shared.select(F.col("u").alias("id")).distinct().hint("merge"), "id", "left_semi").select("id", "n", "sketch"), "facts")
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(facts.select("id").distinct().hint("merge"), "id"), "texts")
 
-    # Each text with the pivot it shares most bands with; then with the pivots still in other components.
+    # Each text with the pivot it shares most bands with; then with those it shares two or more with that are
+    # still in other components. Pairs that meet in one bucket only are left to the last step.
     often = shared.filter("u != v").groupBy("u", "v").agg(F.count("*").alias("k"))
     first = often.groupBy("u").agg(F.max(F.struct("k", (-F.col("v")).alias("v"))).alias("m")).select("u", (-F.col("m.v")).alias("v"))
     links = cut(confirmed(_plausible(first, facts), texts), "links")
     found = cut(components(links), "found")
-    other = _named(_named(shared.filter("u != v"), found, "u", "cu"), found, "v", "cv").filter("cu != cv").select("u", "v").distinct()
+    other = _named(_named(often.filter("k >= 2").select("u", "v"), found, "u", "cu"), found, "v", "cv").filter("cu != cv").select("u", "v")
     other = cut(confirmed(_plausible(other, facts), texts), "links")
     links = links.union(other)
     found = found if other.isEmpty() else cut(components(links), "found")
