@@ -4,7 +4,7 @@
    min-hash flips one bit, so the XOR of two sketches counts the samples in which the sets differ.
 2. Texts of equal sets fall into one class; only one representative of a class goes on.
 3. In every band bucket the least id is the pivot (a star, no pairs among members). A text is paired with the
-   pivot it meets most often, then with the pivots that are still in other components. Pairs whose sketches and
+   pivot it meets most often and its least one, then with pivots that are still in other components. Pairs whose sketches and
    sizes allow the similarity are confirmed on the full sets.
 4. Buckets that still hold several components pair the members of the smaller components with the bucket's
    rest, so every candidate pair is either inside one component or compared. Nothing is capped.
@@ -135,10 +135,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     facts = cut(classes.join(shared.select(F.col("u").alias("id")).distinct().hint("merge"), "id", "left_semi").select("id", "n", "sketch"), "facts")
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(facts.select("id").distinct().hint("merge"), "id"), "texts")
 
-    # Each text with the pivot it shares most bands with; then with those it shares two or more with that are
+    # Each text with the pivot it shares most bands with and the least of its pivots, which a large group has
+    # in common; then with those it shares two or more bands with that are
     # still in other components. Pairs that meet in one bucket only are left to the last step.
     often = shared.filter("u != v").groupBy("u", "v").agg(F.count("*").alias("k"))
-    first = often.groupBy("u").agg(F.max(F.struct("k", (-F.col("v")).alias("v"))).alias("m")).select("u", (-F.col("m.v")).alias("v"))
+    two = often.groupBy("u").agg(F.max(F.struct("k", (-F.col("v")).alias("v"))).alias("m"), F.min("v").alias("least"))
+    first = two.select("u", F.explode(F.array_distinct(F.array(-F.col("m.v"), F.col("least")))).alias("v"))
     links = cut(confirmed(_plausible(first, facts), texts), "links")
     found = cut(components(links), "found")
     other = _named(_named(often.filter("k >= 2").select("u", "v"), found, "u", "cu"), found, "v", "cv").filter("cu != cv").select("u", "v")
