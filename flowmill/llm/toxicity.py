@@ -8,6 +8,7 @@ unlabelled sample. Both samples are bounded (POSITIVES, UNLABELLED); scoring cov
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,29 +37,29 @@ def tokens(text: str | None) -> set[str]:
     return words | {w[:n] + "~" for w in words if len(w) > 4 for n in BEGINNINGS if len(w) > n}
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> dict:
-    """Weights by feature, with the bias under ''."""
+def hashed(text: str | None) -> list[int]:
+    """The 32-bit hashes of a text's tokens, each once, in order."""
+    return sorted({zlib.crc32(t.encode("utf-8", "replace")) for t in tokens(text)})
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> dict[int, float]:
+    """Weights by hashed token, with the bias under -1. A text is the array of its distinct tokens."""
     if not positive or not unlabelled:
-        return {"": -9.0}
-    count_p: dict[str, int] = {}
-    for s in positive:
-        for t in s:
-            count_p[t] = count_p.get(t, 0) + 1
-    count_u: dict[str, int] = dict.fromkeys(count_p, 0)
-    for s in unlabelled:
-        for t in s:
-            if t in count_u:
-                count_u[t] += 1
-    share = {t: c / len(positive) - (count_u[t] + 1) / len(unlabelled) for t, c in count_p.items() if c >= LEAST_COUNT}
-    lift = {t: s * np.log((count_p[t] / len(positive)) / ((count_u[t] + 1) / len(unlabelled))) for t, s in share.items() if s > 0}
-    names = sorted(lift, key=lambda t: (-lift[t], t))[:FEATURES]
-    place = {t: i for i, t in enumerate(names)}
-
-    def matrix(sets: list[set[str]]) -> np.ndarray:
+        return {-1: -9.0}
+    t, n = np.unique(np.concatenate(positive), return_counts=True)
+    t, n = t[n >= LEAST_COUNT], n[n >= LEAST_COUNT]
+    other, m = np.unique(np.concatenate(unlabelled), return_counts=True)
+    at = np.minimum(np.searchsorted(other, t), max(0, len(other) - 1))
+    there = np.where(other[at] == t, m[at], 0) if len(other) else np.zeros(len(t))
+    p, q = n / len(positive), (there + 1) / len(unlabelled)
+    lift = np.where(p > q, (p - q) * np.log(p / q), 0)
+    names = np.sort(t[np.lexsort((t, -lift))[: min(FEATURES, int((lift > 0).sum()))]])
+
+    def matrix(sets: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(sets), len(names) + 1), np.float32)
         out[:, -1] = 1
         for row, s in zip(out, sets, strict=True):
-            row[[place[t] for t in s if t in place]] = 1
+            row[np.searchsorted(names, np.intersect1d(s, names, assume_unique=True))] = 1
         return out
 
     p, u = matrix(positive), matrix(unlabelled)
@@ -70,22 +71,19 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> d
         fp, fu = p @ w, u @ w
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         down = u.T @ (logistic(fu) / len(u)) - prior * (p.T @ (logistic(fp) / len(p)))
-        if negative >= 0:
-            grad = prior * (p.T @ ((logistic(fp) - 1) / len(p))) + down
-        else:
-            grad = -down
+        grad = prior * (p.T @ ((logistic(fp) - 1) / len(p))) + down if negative >= 0 else -down
         grad = grad + DECAY * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - STEP * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
-    return {**dict(zip(names, w[:-1].tolist(), strict=True)), "": float(w[-1])}
+    return {**dict(zip(names.tolist(), w[:-1].tolist(), strict=True)), -1: float(w[-1])}
 
 
-def score(model: dict, text: str | None) -> float:
-    total = model[""] + sum(model.get(t, 0.0) for t in sorted(tokens(text)))
+def score(model: dict[int, float], text: str | None) -> float:
+    total = model[-1] + sum(model.get(t, 0.0) for t in hashed(text))
     return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict:
+def train(docs: DataFrame, labels: DataFrame) -> dict[int, float]:
     """Fit on at most POSITIVES confirmed toxic and UNLABELLED other documents, those with the least hashed ids,
     held-out rows apart. The prior is the share of toxic among all labels that are not held out."""
     seen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), *HELD_OUT))
@@ -98,11 +96,17 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
     def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [sorted(tokens(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(sets, pa.list_(pa.string()))], ["y", "t"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "y").mapInArrow(seen_in, "y int, t array<string>").collect()
-    return fit([set(r.t) for r in rows if r.y], [set(r.t) for r in rows if not r.y], prior)
+            sets = [hashed(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(sets, pa.list_(pa.int64()))], ["y", "t"])
+
+    # the samples come to the driver as Arrow columns of numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "y").mapInArrow(seen_in, "y int, t array<long>").toArrow()
+    y, t = rows.column("y").to_numpy(), rows.column("t").combine_chunks()
+    if not len(y):
+        return fit([], [], prior)
+    off, values = t.offsets.to_numpy(), t.values.to_numpy()
+    sets = [values[a:b] for a, b in zip(off, off[1:], strict=False)]
+    return fit([s for s, k in zip(sets, y, strict=True) if k], [s for s, k in zip(sets, y, strict=True) if not k], prior)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
