@@ -1,7 +1,7 @@
 """Quality rules with robust multivariate outliers.
 
 Counts of each text give base rules and, transformed, a vector of six statistics. Per (lang, source) the minimum
-covariance determinant estimate of that vector is found by concentration steps over all rows: each step takes the
+covariance determinant estimate of that vector is found by concentration steps over all sound rows: each step takes the
 half-to-three-quarters of a group with the least Mahalanobis distance and recomputes mean and covariance. A step
 is two grouped sums (a histogram of distances, then moments), so no group meets in one task. A text is rejected
 where its squared distance exceeds CUT times the group's consistency factor."""
@@ -20,7 +20,7 @@ from .common import Words, cut, slices, small_join
 #: Share of a group that the estimate rests on, and concentration steps.
 SHARE = 0.75
 STEPS = 4
-#: Groups of fewer rows are estimated with their language's rows, or else all rows.
+#: Groups of fewer sound rows are judged by the estimate over all of their language, or else over all rows.
 LEAST_ROWS = 100
 #: Squared distance in units of the consistency-corrected covariance: the 0.9999 quantile of chi-square with six
 #: degrees of freedom.
@@ -83,13 +83,20 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """rows with the group g they are estimated in: (lang, source), the language, or all."""
-    counts = rows.groupBy("grp_lang", "grp_source").agg(F.count("*").alias("_n"))
+    """rows (with base_failed) with the group g whose estimate judges them: (lang, source), the language, or all,
+    the first of LEAST_ROWS sound rows; and with the groups `fits` that a sound row is estimated in: its own and,
+    where small groups need them, its language and all."""
+    counts = rows.groupBy("grp_lang", "grp_source").agg(F.count_if(~F.col("base_failed")).alias("_n"))
     by_lang = counts.groupBy("grp_lang").agg(F.sum("_n").alias("_m"))
-    both = cut(counts.join(by_lang.withColumnRenamed("grp_lang", "_l"), F.col("grp_lang").eqNullSafe(F.col("_l"))).drop("_l"), "counts")
+    both = counts.join(by_lang.withColumnRenamed("grp_lang", "_l"), F.col("grp_lang").eqNullSafe(F.col("_l"))).drop("_l")
     lang, source = F.coalesce(F.concat(F.lit("l:"), "grp_lang"), F.lit("-")), F.coalesce(F.concat(F.lit("s:"), "grp_source"), F.lit("-"))
     g = F.when(F.col("_n") >= LEAST_ROWS, F.concat_ws("|", lang, source)).when(F.col("_m") >= LEAST_ROWS, lang).otherwise("*")
-    return small_join(rows, both.select("grp_lang", "grp_source", g.alias("g")), ["grp_lang", "grp_source"])
+    both = cut(both.select("grp_lang", "grp_source", g.alias("g"), lang.alias("_lang")), "counts")
+    needed = cut(both.filter((F.col("g") == "*") | (F.col("g") == F.col("_lang"))).select(F.col("g").alias("_g")).distinct(), "fallbacks")
+    langs = both.join(needed, F.col("_lang") == F.col("_g"), "left").withColumnRenamed("_g", "_by_lang")
+    every = F.lit(None if needed.filter("_g = '*'").isEmpty() else "*").cast("string")
+    groups = langs.select("grp_lang", "grp_source", "g", F.array_distinct(F.array_compact(F.array("g", "_by_lang", every))).alias("fits"))
+    return small_join(rows, cut(groups, "groups"), ["grp_lang", "grp_source"])
 
 
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +165,8 @@ def judged(docs: DataFrame) -> DataFrame:
     the base take no part in the estimates."""
     raw = cut(measured(docs), "measured")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = cut(_grouped(raw).withColumn("base_failed", failed), "grouped")
-    sound = rows.filter(~F.col("base_failed")).select("g", "x")
+    rows = cut(_grouped(raw.withColumn("base_failed", failed)), "grouped")
+    sound = rows.filter(~F.col("base_failed")).select(F.explode("fits").alias("g"), "x")
     model = _moments(sound)
     for _ in range(STEPS):
         far = _with_distance(sound, model)

@@ -158,3 +158,19 @@ def test_concentration_equals_numpy(spark):
     r = model.first()
     assert np.allclose(r.mid, mine.mean(0), atol=1e-6)
     assert np.abs(np.array(r.mid)).max() < 0.3
+
+
+def test_small_groups_are_judged_by_their_language_or_all(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(4, 8)))
+    clean = lambda: " ".join(word() for _ in range(120))
+    junk = lambda: " ".join(word().upper() + "#@=" for _ in range(120))
+    rows = [(i, clean(), "en", "big") for i in range(150)]
+    rows += [(1000, junk(), "en", "lone")]  # one document, its own few rows say nothing
+    rows += [(1010 + i, junk(), "en", "five") for i in range(4)] + [(1014, clean(), "en", "five")]
+    rows += [(1020, junk(), "xx", "tiny"), (1021, clean(), "xx", "tiny")]  # a language too small, judged by all
+    rows += [(2000 + i, "short text", "en", "unsound") for i in range(200)] + [(2200, clean(), "en", "unsound"), (2201, junk(), "en", "unsound")]
+    got = {r.doc_id: r.kept for r in rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert np.mean([got[i] for i in range(150)]) > 0.98
+    assert not any(got[i] for i in (1000, 1010, 1011, 1012, 1013, 1020, 2201))
+    assert got[1014] and got[1021] and got[2200]
