@@ -1,10 +1,11 @@
 """Personal data: base patterns, high-recall candidates and boosted trees, all in DataFrame functions.
 
 Base kinds (email, ip, card, phone) are found by pattern and check. Generators then propose further, overlapping
-spans (keys and secrets, digits in the shape of phones or accounts, address-like words). A gradient-boosted
+spans (keys, assigned secrets, digits in the shape of phones or accounts). A gradient-boosted
 ensemble of depth-two trees scores each candidate by format and context; those at or above a calibrated
 threshold that overlap no base span are added as kind 'secret' or 'contact'. The trees are fitted on a bounded sample of
-candidates with format rules as weak labels, and run as one SQL expression.
+distinct candidates, as many of each generator and weak label (format rules) as there are, and run as one SQL
+expression.
 
 Base patterns are written so that Java's matcher stays linear: possessive runs, and starts only where a run
 starts or the last match ended. Their matches are those of the plain patterns."""
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -101,20 +102,20 @@ SURE = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^(?:sk|pk|ghp|gho|xox[bp])[_-][A-Za-z0-9_-]
 
 
 def candidates(text: Column) -> Column:
-    """Overlapping spans of all generators, with their kind and the text in front."""
+    """Overlapping spans of all generators, with their kind, generator and the text in front."""
     none = F.array().cast(SPAN)
 
-    def tag(spans: Column, kind: str) -> Column:
+    def tag(spans: Column, kind: str, generator: int) -> Column:
         return F.transform(spans, lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), F.lit(kind).alias("kind"),
+            x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), F.lit(kind).alias("kind"), F.lit(generator).alias("generator"),
             F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24))).alias("before"),
         ))
 
     some = F.regexp(text, F.lit("[0-9]"))
     return F.concat(
-        tag(F.when(some, hits(text, KEYLIKE)).otherwise(none), "secret"),
-        tag(F.when(F.regexp(text, F.lit("[=:]")), hits(text, ASSIGNED)).otherwise(none), "secret"),
-        tag(F.when(some, hits(text, NUMERIC)).otherwise(none), "contact"),
+        tag(F.when(some, hits(text, KEYLIKE)).otherwise(none), "secret", 0),
+        tag(F.when(F.regexp(text, F.lit("[=:]")), hits(text, ASSIGNED)).otherwise(none), "secret", 1),
+        tag(F.when(some, hits(text, NUMERIC)).otherwise(none), "contact", 2),
     )
 
 
@@ -178,12 +179,16 @@ def score(model: dict, at: dict[str, Column]) -> Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fit on at most `sample` candidates of the documents with the smallest hashed texts."""
-    drawn = docs.select("text").filter(F.regexp("text", F.lit("[0-9]"))).select(F.xxhash64("text").alias("h"), F.explode(candidates(F.col("text"))).alias("c"))
-    rows = drawn.select("h", F.col("c.hit").alias("hit"), F.col("c.before").alias("before"), F.col("c.start").alias("start")).orderBy("h", "start", "hit").limit(sample)
-    made = features(F.col("hit"), F.col("before"))
+    """Fit on at most `sample` distinct candidates (hit and the text in front), those with the smallest hashes of
+    each generator and weak label in turn, so that copies count once and no kind of candidate crowds out another."""
+    found = docs.filter(F.regexp("text", F.lit("[0-9=:]"))).select(F.explode(candidates(F.col("text"))).alias("c"))
+    drawn = found.groupBy(F.col("c.hit").alias("hit"), F.col("c.before").alias("before")).agg(F.min("c.generator").alias("generator"))
     label = F.col("hit").rlike(SURE) | (F.concat("before", "hit").rlike(r"(?i)(key|secret|passw|token)[a-z_]*[\x20\"']*[=:][\x20\"']*[A-Za-z0-9_/+-]{8,}$"))
-    return fit([tuple(r) for r in rows.select(*[made[k].alias(k) for k in FEATURES], label.cast("int").alias("y")).collect()])
+    named = drawn.withColumns({"y": label.cast("int"), "h": F.xxhash64("hit", "before")})
+    turn = F.row_number().over(Window.partitionBy("generator", "y").orderBy("h", "hit", "before"))
+    rows = named.withColumn("turn", turn).filter(F.col("turn") <= sample).orderBy("turn", "generator", "y").limit(sample)
+    made = features(F.col("hit"), F.col("before"))
+    return fit([tuple(r) for r in rows.select(*[made[k].alias(k) for k in FEATURES], "y").collect()])
 
 
 def _outside(spans: Column, others: list[Column]) -> Column:

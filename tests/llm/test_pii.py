@@ -81,3 +81,16 @@ def test_redact_replaces_spans_and_keeps_columns(spark):
 @pytest.mark.parametrize("n", [0])
 def test_empty_table(spark, n):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == n
+
+
+def test_copies_and_long_texts_do_not_fill_the_sample(spark):
+    """The text with the least hash has more candidates than the sample and many copies; the trees still learn both labels."""
+    fill = " ".join(f"item-{i:08d}-x" for i in range(3000))
+    texts = [f"note {k} " + fill for k in range(40)]
+    first = min(spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text").alias("h")).collect(), key=lambda r: r.h).text
+    keys = [f"use AKIA{chr(65 + k) * 8}{chr(66 + k) * 7}{k % 10} here" for k in range(20)]
+    prose = [f"reference lot-{k:05d}-{k:05d} arrived" for k in range(20)]
+    rows = list(enumerate([first] * 3 + keys + prose))
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("secret:4:24" in got[3 + k] for k in range(20))
+    assert not any("secret" in got[i] for i in (0, 1, 2, *range(23, 43)))
