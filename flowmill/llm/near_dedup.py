@@ -6,8 +6,12 @@
 3. In every band bucket the least id is the pivot (a star, no pairs among members). A text is paired with the
    pivot it meets most often and its least one, then with pivots that are still in other components. Pairs whose sketches and
    sizes allow the similarity are confirmed on the full sets.
-4. Buckets that still hold several components pair the members of the smaller components with the bucket's
-   rest, so every candidate pair is either inside one component or compared. Nothing is capped.
+4. A bucket that still holds several components gets a second pivot, the text of which the least is its own, and
+   every member is compared with it. The shingles that two members both share with it, and those that each shares
+   with any other text at all, bound what the two can share.
+5. The members of the smaller components meet the bucket's texts of a similar size; pairs that this bound and the
+   sketches leave are confirmed, so every candidate pair is inside one component, ruled out exactly (by the bound),
+   by its sketches, or compared. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ BANDS, ROWS = 32, 4
 #: Bits of an odd sketch; SKETCH_SLACK is how many standard errors below the threshold still go on.
 SKETCH_BITS = 512
 SKETCH_SLACK = 4.5
+#: Ratio of neighbouring size classes in the last step.
+SIZE_STEP = 1.1
 
 SIGNATURE = "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>"
 
@@ -68,9 +74,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures, SIGNATURE)
 
 
+def _bits(words: Column) -> Column:
+    return F.aggregate(F.transform(words, lambda x: F.bit_count(x).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
 def sketch_distance(a: Column, b: Column) -> Column:
     """Number of bits in which two odd sketches differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    return _bits(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)))
 
 
 def sketch_limit(percent: int = PERCENT) -> int:
@@ -92,10 +102,33 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep))
 
 
+#: inside: one bit for each shingle of v that u holds, in order of hash; held: their number.
+AGAINST = "u long, v long, linked boolean, inside array<long>, held long"
+
+
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "ta", 1 << 19):
+        left, right = Words(batch.column("ta")).shingles(SHINGLE), Words(batch.column("tb")).shingles(SHINGLE)
+        linked, inside, held = [], [], []
+        for x, y in zip(left, right, strict=True):
+            x, y = np.unique(x), np.unique(y)
+            bits = np.isin(y, x, assume_unique=True)
+            both = int(bits.sum())
+            linked.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
+            inside.append(np.packbits(np.concatenate([bits, np.zeros(-len(bits) % 64, bool)])).view(np.int64))
+            held.append(both)
+        columns = [batch.column("u"), batch.column("v"), pa.array(linked), pa.array(inside, pa.list_(pa.int64())), pa.array(held, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["u", "v", "linked", "inside", "held"])
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    a, b = texts.select(F.col("id").alias("u"), F.col("text").alias("ta")), texts.select(F.col("id").alias("v"), F.col("text").alias("tb"))
+    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "ta", "tb")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough; texts: id, text."""
-    a, b = texts.select(F.col("id").alias("u"), F.col("text").alias("ta")), texts.select(F.col("id").alias("v"), F.col("text").alias("tb"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "ta", "tb").mapInArrow(_linked, "u long, v long")
+    return _texts_of(pairs, texts).mapInArrow(_linked, "u long, v long")
 
 
 def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -110,6 +143,28 @@ def _near(nu: str, nv: str, su: str, sv: str) -> Column:
     return sized & (sketch_distance(F.col(su), F.col(sv)) <= sketch_limit())
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP))).cast("int")
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets = [np.unique(s) for s in Words(batch.column("text")).shingles(SHINGLE)]
+        ids = np.repeat(batch.column("id").to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(as_long(np.concatenate(sets)))], ["id", "s"])
+
+
+def _own(texts: DataFrame) -> DataFrame:
+    """id, own: how many of the text's shingles no other of the texts holds."""
+    return texts.select("id", "text").mapInArrow(_shingle_rows, "id long, s long").groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).filter("k = 1").groupBy("id").agg(F.count("*").alias("own"))
+
+
+def _apart(of: DataFrame) -> DataFrame:
+    """The rows (b, id, c, ...) of buckets that hold several components."""
+    several = of.groupBy("b").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("b")
+    return of.join(several, "b", "left_semi")
+
+
 def _named(df: DataFrame, found: DataFrame, at: str, name: str) -> DataFrame:
     """df with the component of the id in column `at`; an id without links is its own."""
     own = found.select(F.col("id").alias(at), F.col("component").alias("_c"))
@@ -148,15 +203,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.union(other)
     found = found if other.isEmpty() else cut(components(links), "found")
 
-    # Members of one bucket that are still apart: the smaller components against all the bucket holds.
-    of = _named(shared.select("b", F.col("u").alias("id")), found, "id", "c")
-    apart = of.groupBy("b").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("b")
-    mixed = cut(of.join(apart, "b", "left_semi").join(facts, "id").select("b", "id", "c", "n", "sketch"), "mixed")
-    sizes = mixed.groupBy("b", "c").agg(F.count("*").alias("k"))
-    major = sizes.groupBy("b").agg(F.max(F.struct("k", "c")).alias("m")).select("b", F.col("m.c").alias("major"))
-    minor = mixed.join(major, "b").filter("c != major").select("b", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("sketch").alias("su"), "major")
-    every = mixed.select("b", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-    rest = minor.join(every, "b").filter((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("major")) | (F.col("u") < F.col("v"))) & _near("nu", "nv", "su", "sv"))
+    # Buckets that still hold several components. What no other of their texts holds bounds a text's overlap.
+    mixed = cut(_apart(_named(shared.select("b", F.col("u").alias("id")), found, "id", "c")), "mixed")
+    ids = mixed.select("id").distinct().hint("merge")
+    reach = facts.join(ids, "id", "left_semi").join(_own(texts.join(ids, "id", "left_semi")), "id", "left").select("id", "n", "sketch", (F.col("n") - F.coalesce("own", F.lit(0))).alias("reach"))
+    of = cut(mixed.join(reach, "id"), "reach")
+    # The text that shares most of itself becomes the bucket's second pivot, and every member is compared with it.
+    central = of.groupBy("b").agg(F.max(F.struct((F.col("reach") / F.col("n")).alias("k"), (-F.col("id")).alias("i"))).alias("p")).select("b", (-F.col("p.i")).alias("v"))
+    met = cut(of.join(central, "b").filter("id != v"), "met")
+    against = cut(_texts_of(met.select(F.col("id").alias("u"), "v").distinct(), texts).mapInArrow(_against, AGAINST), "against")
+    more = cut(against.filter("linked").select("u", "v"), "links")
+    links = links.union(more)
+    found = found if more.isEmpty() else cut(components(links), "found")
+
+    # What is still apart: the smaller components against all the bucket holds of the sizes that can be similar.
+    # Two members share no more than what both share with the pivot and the lesser of what else they share with any text.
+    bounds = against.select(F.col("u").alias("id"), "v", "inside", "held")
+    of = cut(_apart(_named(met.drop("c"), found, "id", "c")).join(bounds, ["id", "v"]).withColumn("extra", F.col("reach") - F.col("held")), "apart")
+    major = of.groupBy("b", "c").agg(F.count("*").alias("k")).groupBy("b").agg(F.max(F.struct("k", "c")).alias("m")).select("b", F.col("m.c").alias("major"))
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    most = F.least(F.floor(F.col("n") * 100 / PERCENT), F.floor(F.col("reach") * (100 + PERCENT) / PERCENT) - F.col("n"))
+    one = lambda x: [F.col("id").alias(x), *[F.col(c).alias(c + x) for c in ("c", "n", "extra", "inside", "sketch")]]
+    minor = of.join(major, "b").filter((F.col("c") != F.col("major")) & (most >= least)).select("b", F.explode(F.sequence(_size_class(least), _size_class(most))).alias("s"), "major", *one("u"))
+    every = of.select("b", _size_class(F.col("n")).alias("s"), *one("v"))
+    other = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("major")) | (F.col("u") < F.col("v")))
+    both = _bits(F.zip_with("insideu", "insidev", lambda x, y: x.bitwiseAND(y))) + F.least("extrau", "extrav")
+    rest = minor.join(every, ["b", "s"]).filter(other & ((100 + PERCENT) * both >= PERCENT * (F.col("nu") + F.col("nv"))) & _near("nu", "nv", "sketchu", "sketchv"))
     more = cut(confirmed(rest.select("u", "v").distinct(), texts), "links")
 
     final = found if more.isEmpty() else components(links.union(more))

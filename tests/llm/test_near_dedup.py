@@ -53,6 +53,21 @@ def test_groups_chains_and_edges(spark):
     assert got(nd.near_duplicates(docs)) == brute([(i, t) for i, t, _ in rows])
 
 
+def test_near_copies_about_the_threshold(spark):
+    """A large group of copies of one text with one to nine edits, most pairs of which are a little below the threshold."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(300):
+        t = base[:]
+        for _ in range(rnd.randrange(1, 10)):
+            t[rnd.randrange(len(t))] = word()
+        rows.append((i, " ".join(t)))
+    rows.append((300, " ".join(base)))
+    assert got(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_one_row_stays_of_each_group(spark):
     t = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(2, t), (1, t + " x"), (1, t + " x"), (3, "other words here are these"), (4, None), (None, t)], "doc_id long, text string")
