@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of tables that are written and no longer referred to: its cleaner acts when the
+    driver collects garbage, which a driver with little to do seldom does."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m
