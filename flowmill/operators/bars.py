@@ -82,7 +82,7 @@ def trend() -> dict[str, Column]:
     rising, falling = known & (c > e50) & (s50 > 0), known & (c < e50) & (s50 < 0)
     return {
         "trend": F.when(up, "LONG").when(down, "SHORT").when(rising, "LONG").when(falling, "SHORT").otherwise("NEUTRAL"),
-        "strength": F.when(up | down, strength).when(rising | falling, F.round(strength * 0.7, 3)).otherwise(0.0),
+        "strength": F.when(up | down, strength).when(rising | falling, F.floor(strength * 700 + 0.5) / 1000).otherwise(0.0),
     }
 
 

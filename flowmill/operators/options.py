@@ -64,6 +64,11 @@ def tenor(tenors: DataFrame, target: int) -> DataFrame:
     return tenors.groupBy("ticker").agg(F.min_by(F.struct("days", "percentile", "volatility"), F.struct(F.abs(F.col("days") - target), F.col("days"))).alias("t")).select("ticker", "t.*")
 
 
+def rank_tenor(tenors: DataFrame, target: int = 30) -> DataFrame:
+    """The row of exactly `target` days, or else the first one."""
+    return tenors.groupBy("ticker").agg(F.min_by(F.struct("days", "percentile", "volatility"), F.struct(F.col("days") != target, F.col("days"))).alias("t")).select("ticker", "t.*")
+
+
 def chains_by_ticker(contracts: DataFrame, n: int = 5) -> DataFrame:
     """Premium sums, call share, dominant side and the n largest contracts per ticker. The rank is cut per task
     before rows meet."""

@@ -90,3 +90,28 @@ def streak_trend(history: DataFrame, key: list[str], value: str, order: str, win
     a = last.groupBy(*key).agg(F.count("*").alias("n"), F.avg(value).alias("mean_flow"), F.regr_slope(F.col(value), -F.col("_r").cast("double")).alias("slope"))
     norm = F.col("slope") / F.greatest(F.abs("mean_flow"), F.lit(1e-6))
     return a.withColumn("flow_trend", F.when(F.col("n") < 3, "n/a").when(norm > 0.05, "rising").when(norm < -0.05, "falling").otherwise("flat"))
+
+
+def nearest_in_time(rows: DataFrame) -> DataFrame:
+    """Rows that ask (ticker, at, tracking_id, asks) with `nearest`: the id of the row of their ticker that does not ask
+    and is nearest in time, the least id on ties; null where there is none. Running extremes over time, peers
+    included, so no pairs are formed."""
+    first, last = Window.unboundedPreceding, Window.currentRow
+    at = F.when(~F.col("asks"), F.col("at"))
+    rows = rows.withColumn("_before", F.max(F.struct(at.alias("at"), F.when(~F.col("asks"), -F.col("tracking_id")).alias("id"))).over(Window.partitionBy("ticker").orderBy("at").rangeBetween(first, last)))
+    late = F.when(~F.col("asks"), F.struct(F.col("at"), F.col("tracking_id").alias("id")))
+    rows = rows.withColumn("_after", F.min(late).over(Window.partitionBy("ticker").orderBy(F.desc("at")).rangeBetween(first, last)))
+    gap = lambda c, sign: F.when(F.col(f"{c}.at").isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("at")).alias("gap"), (sign * F.col(f"{c}.id")).alias("id")))
+    return rows.filter("asks").withColumn("nearest", F.array_min(F.array_compact(F.array(gap("_before", -1), gap("_after", 1))))["id"]).drop("_before", "_after")
+
+
+def outcome_stamped(history: DataFrame, promoted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(ticker, direction, outcome) of history rows: promoted, rejected:<reason> or not_evaluated. The sides may be
+    named LONG / SHORT or BULLISH / BEARISH on either table."""
+    d = F.col("direction")
+    side = F.when(d.isin("LONG", "BULLISH"), "BULLISH").when(d.isin("SHORT", "BEARISH"), "BEARISH").otherwise(d)
+    k = ["ticker", "_side"]
+    p = promoted.select("ticker", side.alias("_side"), F.lit(True).alias("_p")).distinct()
+    j = rejected.select("ticker", side.alias("_side"), F.col("reject_reason")).groupBy(*k).agg(F.min("reject_reason").alias("_why"))
+    stamped = F.when(F.col("_p"), "promoted").otherwise(F.coalesce(F.concat(F.lit("rejected:"), "_why"), F.lit("not_evaluated")))
+    return history.withColumn("_side", side).join(p, k, "left").join(j, k, "left").select("ticker", "direction", stamped.alias("outcome"))

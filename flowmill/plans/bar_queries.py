@@ -71,14 +71,13 @@ def src4(spark, d):
 
 TREND_SQL = """, tr0 AS (SELECT *, round(0.6::DOUBLE * greatest(0, least((coalesce(adx, 0) - 15) / 25, 1)) + 0.4::DOUBLE * greatest(0, least(abs(coalesce(ema20_slope, 0)) / 2, 1)), 3) AS st,
   i >= 1 AND close > ema20 AND ema20 > ema50 AS up_, i >= 1 AND close < ema20 AND ema20 < ema50 AS dn_, i >= 1 AND close > ema50 AND coalesce(ema50_slope, 0) > 0 AS ri_, i >= 1 AND close < ema50 AND coalesce(ema50_slope, 0) < 0 AS fa_ FROM feat),
-trended AS (SELECT *, CASE WHEN up_ THEN 'LONG' WHEN dn_ THEN 'SHORT' WHEN ri_ THEN 'LONG' WHEN fa_ THEN 'SHORT' ELSE 'NEUTRAL' END AS trend, CASE WHEN up_ OR dn_ THEN st WHEN ri_ OR fa_ THEN round(st * 0.7::DOUBLE, 3) ELSE 0 END AS strength FROM tr0)"""
+trended AS (SELECT *, CASE WHEN up_ THEN 'LONG' WHEN dn_ THEN 'SHORT' WHEN ri_ THEN 'LONG' WHEN fa_ THEN 'SHORT' ELSE 'NEUTRAL' END AS trend, CASE WHEN up_ OR dn_ THEN st WHEN ri_ OR fa_ THEN floor(st * 700::DOUBLE + 0.5::DOUBLE) / 1000 ELSE 0 END AS strength FROM tr0)"""
 
 
-@query("win6_trend", f"WITH {FEAT_SQL}{TREND_SQL} SELECT ticker, date, trend, round(strength, 2) AS strength FROM trended WHERE abs(strength * 100 - floor(strength * 100) - 0.5) > 0.06")
+@query("win6_trend", f"WITH {FEAT_SQL}{TREND_SQL} SELECT ticker, date, trend, round(strength, 3) AS strength FROM trended")
 def win6(spark, d):
     t = feat(spark, d).withColumns(B.trend())
-    edge = F.abs(F.col("strength") * 100 - F.floor(F.col("strength") * 100) - 0.5) > 0.06  # off the rounding edges that two engines may split
-    return t.filter(edge).select("ticker", "date", "trend", F.round("strength", 2).alias("strength"))
+    return t.select("ticker", "date", "trend", F.round("strength", 3).alias("strength"))
 
 
 @query("win7_pivots", f"""WITH {BARS_SQL}, p AS (SELECT *, count(*) {rows('3 PRECEDING', '3 FOLLOWING')} = 7 AS full_, max(high) {rows('3 PRECEDING', '3 FOLLOWING')} AS hi, min(low) {rows('3 PRECEDING', '3 FOLLOWING')} AS lo FROM bars)

@@ -10,6 +10,7 @@ from ..functions import scores as C
 from ..operators import panels as N
 from ..sources.fixtures import FLOW_SQL, PRINTS_SQL, SNAPSHOTS_SQL, flow_events, prints, snapshots, table
 from .flow_queries import AGG_SQL, BOTH_SQL, KEY, aggregated, flow, results
+from ..operators.panels import nearest_in_time, outcome_stamped
 from .registry import query
 from .surface_queries import CHAIN_SQL, daily, spot, strikes
 from .tracker_queries import TRACK_SQL, board
@@ -267,14 +268,13 @@ def jon4(spark, d):
     return r.join(worst, "ticker").select("ticker", "direction", "own_tier", "worst_tier")
 
 
-@query("jon7_outcome_stamp", f"""WITH {BOTH_SQL}, p AS (SELECT ticker, direction FROM results WHERE final_score >= 7), j AS (SELECT ticker, direction, 'poor_rr' AS why FROM results WHERE final_score < 6)
-SELECT r.ticker, r.direction, CASE WHEN p.ticker IS NOT NULL THEN 'promoted' ELSE coalesce('rejected:' || why, 'not_evaluated') END AS outcome FROM results r LEFT JOIN p ON p.ticker = r.ticker AND p.direction = r.direction LEFT JOIN j ON j.ticker = r.ticker AND j.direction = r.direction""")
+@query("jon7_outcome_stamp", f"""WITH {BOTH_SQL}, p AS (SELECT ticker, direction FROM results WHERE final_score >= 7), j AS (SELECT ticker, direction, 'poor_rr' AS why FROM results WHERE final_score < 6),
+h AS (SELECT ticker, CASE direction WHEN 'LONG' THEN 'BULLISH' ELSE 'BEARISH' END AS direction FROM results)
+SELECT r.ticker, r.direction, CASE WHEN p.ticker IS NOT NULL THEN 'promoted' ELSE coalesce('rejected:' || why, 'not_evaluated') END AS outcome FROM h r LEFT JOIN p ON p.ticker = r.ticker AND (p.direction = 'LONG') = (r.direction = 'BULLISH') LEFT JOIN j ON j.ticker = r.ticker AND (j.direction = 'LONG') = (r.direction = 'BULLISH')""")
 def jon7(spark, d):
     r = results(spark, d).select("ticker", "direction", "final_score")
-    p = r.filter("final_score >= 7").select("ticker", "direction", F.lit(True).alias("p"))
-    j = r.filter("final_score < 6").select("ticker", "direction", F.lit("poor_rr").alias("why"))
-    k = ["ticker", "direction"]
-    return r.join(p, k, "left").join(j, k, "left").select(*k, F.when(F.col("p"), "promoted").otherwise(F.coalesce(F.concat(F.lit("rejected:"), "why"), F.lit("not_evaluated"))).alias("outcome"))
+    history = r.select("ticker", F.when(F.col("direction") == "LONG", "BULLISH").otherwise("BEARISH").alias("direction"))
+    return outcome_stamped(history, r.filter("final_score >= 7"), r.filter("final_score < 6").withColumn("reject_reason", F.lit("poor_rr")))
 
 
 @query("jon8_not_held", f"WITH {BOTH_SQL} SELECT ticker, direction, final_score FROM results r WHERE NOT EXISTS (SELECT 1 FROM flow h WHERE h.ticker = r.ticker AND h.premium > 104900) ORDER BY final_score DESC, ticker, direction LIMIT 10")
@@ -286,14 +286,10 @@ def jon8(spark, d):
 @query("jon10_nearest_in_time", f"""WITH {PRINTS_SQL}, q AS (SELECT tracking_id, ticker, executed_at, price FROM prints WHERE tracking_id % 10 = 0), g AS (SELECT tracking_id, ticker, executed_at, price FROM prints WHERE tracking_id % 10 <> 0)
 SELECT q.tracking_id, arg_min(g.tracking_id, (abs(epoch_us(g.executed_at) - epoch_us(q.executed_at)), g.tracking_id)) AS nearest FROM q JOIN g ON q.ticker = g.ticker GROUP BY 1""")
 def jon10(spark, d):
-    """The nearest row on either side: one ordered window per key carries the last and the next candidate, so no
-    pairs are formed."""
+    """The nearest row on either side, the least id among rows of one time: two ordered windows per key carry the last
+    and the next candidate, so no pairs are formed."""
     p = prints(spark, d).select("tracking_id", "ticker", F.unix_micros(F.col("executed_at").cast("timestamp")).alias("at"))
-    p = p.withColumn("g", F.when(F.col("tracking_id") % 10 != 0, F.struct("at", "tracking_id")))
-    w = Window.partitionBy("ticker").orderBy("at", "tracking_id")
-    p = p.withColumn("a", F.last("g", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("b", F.first("g", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("at")).alias("gap"), F.col(f"{c}.tracking_id").alias("id")))
-    return p.filter("g is null").select("tracking_id", F.array_min(F.array_compact(F.array(gap("a"), gap("b"))))["id"].alias("nearest"))
+    return nearest_in_time(p.withColumn("asks", F.col("tracking_id") % 10 == 0)).select("tracking_id", "nearest")
 
 
 @query("jon13_sector_precedence", f"WITH {AGG_SQL}, s AS (SELECT DISTINCT ticker, sector FROM flow) SELECT ticker, CASE WHEN CAST(substr(ticker, 2) AS INT) % 10 = 0 THEN 'Special basket' WHEN CAST(substr(ticker, 2) AS INT) % 10 = 1 THEN 'Index fund' ELSE sector END AS resolved FROM agg JOIN s USING (ticker)")

@@ -121,12 +121,13 @@ def tenors(spark, d):
     return flow(spark, d).groupBy("ticker", (F.floor(F.col("dte") / 10) * 10).cast("int").alias("days")).agg(F.round(F.avg(F.col("l_partkey") % 101) / 100, 6).alias("percentile"), F.round(F.stddev_samp("underlying_price") / 100, 6).alias("volatility"))
 
 
-@query("opt5_tenor_pick", f"""WITH {TENOR_SQL}, n AS (SELECT ticker, arg_min(volatility, (abs(days - 30), days)) AS v30, arg_min(volatility, (abs(days - 90), days)) AS v90, arg_min(percentile, (abs(days - 30), days)) AS p30 FROM tn GROUP BY 1)
-SELECT ticker, round(p30 * 100, 2) AS iv_rank, v30 AS iv_30, v90 AS iv_90, round(v90 - v30, 6) + 0 AS term_slope FROM n""")
+@query("opt5_tenor_pick", f"""WITH {TENOR_SQL}, n AS (SELECT ticker, arg_min(volatility, (abs(days - 30), days)) AS v30, arg_min(volatility, (abs(days - 60), days)) AS v60, arg_min(volatility, (abs(days - 90), days)) AS v90, arg_min(percentile, (days <> 30, days)) AS p30 FROM tn GROUP BY 1)
+SELECT ticker, round(p30 * 100, 2) AS iv_rank, v30 AS iv_30, v60 AS iv_60, v90 AS iv_90, round(v90 - v30, 6) + 0 AS term_slope FROM n""")
 def opt5(spark, d):
     t = tenors(spark, d)
-    near, far = P.tenor(t, 30), P.tenor(t, 90).select("ticker", F.col("volatility").alias("iv_90"))
-    return near.join(far, "ticker").select("ticker", F.round(F.col("percentile") * 100, 2).alias("iv_rank"), F.col("volatility").alias("iv_30"), "iv_90", (F.round(F.col("iv_90") - F.col("volatility"), 6) + F.lit(0.0)).alias("term_slope"))
+    near, mid, far = (P.tenor(t, n).select("ticker", F.col("volatility").alias(f"iv_{n}")) for n in (30, 60, 90))
+    ranked = P.rank_tenor(t).select("ticker", F.round(F.col("percentile") * 100, 2).alias("iv_rank"))
+    return ranked.join(near, "ticker").join(mid, "ticker").join(far, "ticker").withColumn("term_slope", F.round(F.col("iv_90") - F.col("iv_30"), 6) + F.lit(0.0))
 
 
 @query("opt7_expiry_concentration", f"WITH {EXP_SQL} SELECT ticker, arg_max(expires, (oi, -date_diff('day', DATE '1970-01-01', expires))) AS top_expiry, round(max(oi) / CAST(sum(oi) AS DOUBLE), 6) AS top_share FROM ex GROUP BY 1")
@@ -172,18 +173,14 @@ def win35(spark, d):
 # ---- robust statistics -------------------------------------------------------------------------
 
 HIST_SQL = SNAPSHOTS_SQL + """,
-hist AS (SELECT ticker, sector, snapshot_date, total_bullish_premium / marketcap * 10000 AS v FROM snapshots WHERE snapshot_date < DATE '1998-01-05' AND (snapshot_date >= DATE '1997-01-01' - CAST(CAST(substr(ticker, 2) AS INT) * 5 AS INT)) AND CAST(substr(ticker, 2) AS INT) % 7 <> 0
-   AND (CAST(substr(ticker, 2) AS INT) % 5 <> 0 OR snapshot_date >= DATE '1997-11-01') AND (CAST(substr(ticker, 2) AS INT) % 11 <> 0 OR snapshot_date >= DATE '1997-12-20')),
+hist AS (SELECT ticker, sector, snapshot_date, total_bullish_premium / marketcap * 10000 AS v FROM snapshots WHERE snapshot_date < DATE '1998-01-05'),
 today AS (SELECT ticker, sector, snapshot_date, total_bullish_premium / marketcap * 10000 AS v FROM snapshots WHERE snapshot_date = DATE '1998-01-05')"""
 
 
 def _history(spark, d):
-    k = F.substring("ticker", 2, 9).cast("int")
     s = snapshots(spark, d).withColumn("v", F.col("total_bullish_premium") / F.col("marketcap") * 10000).select("ticker", "sector", "snapshot_date", "v")
-    day = lambda x: F.lit(x).cast("date")
-    h = s.filter((F.col("snapshot_date") < day("1998-01-05")) & (F.col("snapshot_date") >= F.date_sub(day("1997-01-01"), k * 5)) & (k % 7 != 0))
-    h = h.filter(((k % 5 != 0) | (F.col("snapshot_date") >= day("1997-11-01"))) & ((k % 11 != 0) | (F.col("snapshot_date") >= day("1997-12-20"))))
-    return h, s.filter(F.col("snapshot_date") == day("1998-01-05"))
+    day = F.lit("1998-01-05").cast("date")
+    return s.filter(F.col("snapshot_date") < day), s.filter(F.col("snapshot_date") == day)
 
 
 OWN_SQL = """, om AS (SELECT ticker, median(v) AS m, count(*) AS n FROM hist GROUP BY 1), own AS (SELECT hist.ticker, any_value(m) AS m, median(abs(v - m)) AS d, any_value(n) AS n FROM hist JOIN om USING (ticker) GROUP BY 1),

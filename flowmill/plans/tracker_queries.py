@@ -120,7 +120,7 @@ PLAN_SQL = FEAT_SQL + f""",
 pl0 AS (SELECT ticker, i, date AS as_of, atr14 AS atr, lead(open) OVER (PARTITION BY ticker ORDER BY date) AS entry, CASE WHEN (i // 10) % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction,
   CASE (i // 10) % 4 WHEN 0 THEN 'lottery' WHEN 1 THEN 'swing' WHEN 2 THEN 'position' ELSE 'leap' END AS bucket FROM feat),
 pl AS (SELECT *, CASE direction WHEN 'LONG' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s, {', '.join('CASE bucket ' + ' '.join(f"WHEN '{b}' THEN {x[k]}" + ('' if k == 0 else '::DOUBLE') for b, x in R.HOLD.items()) + f' END AS {n}' for k, n in enumerate(('max_hold', 'min_r', 'trail_atr')))}
-  FROM pl0 WHERE i % 10 = 0 AND atr > 0 AND entry > 0),
+  FROM pl0 WHERE atr > 0 AND entry > 0),
 rp1 AS (SELECT pl.*, b.i - pl.i - 1 AS off, s * entry AS en, s * entry - atr AS st, s * entry + 1.5::DOUBLE * atr AS a1, s * entry + 3 * atr AS a2, CASE WHEN s > 0 THEN b.high ELSE -b.low END AS hi, CASE WHEN s > 0 THEN b.low ELSE -b.high END AS lo, s * b.close AS cl, s * b.ema20 AS em
   FROM pl JOIN feat b ON b.ticker = pl.ticker AND b.i > pl.i + 1 AND b.i <= pl.i + 1 + max_hold),
 rp2 AS (SELECT *, greatest(en, max(hi) OVER w) AS best, bool_or(hi >= a1) OVER w AS t1_hit, (cl - en) / atr AS r FROM rp1 WINDOW w AS (PARTITION BY ticker, i ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -138,7 +138,7 @@ def replayed(spark, d):
     f = feat(spark, d)
     n = F.floor(F.col("i") / 10)
     b = F.when(n % 4 == 0, "0-7").when(n % 4 == 1, "8-30").when(n % 4 == 2, "31-90").otherwise("91+")
-    decisions = f.filter("i % 10 = 0").select("ticker", "i", F.when(n % 2 == 0, "LONG").otherwise("SHORT").alias("direction"), b.alias("bucket"))
+    decisions = f.select("ticker", "i", F.when(n % 2 == 0, "LONG").otherwise("SHORT").alias("direction"), b.alias("bucket"))
     return R.replay(R.plans_from(decisions, f), f)
 
 

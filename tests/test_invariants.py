@@ -144,3 +144,29 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_nearest_in_time_takes_the_least_id_of_a_tie(spark):
+    from flowmill.operators.panels import nearest_in_time
+
+    rows = [("a", 10, 1, False), ("a", 10, 3, False), ("a", 12, 5, True), ("a", 14, 7, False), ("a", 14, 6, False), ("a", 30, 9, True), ("a", 30, 8, False), ("a", 30, 11, False), ("b", 1, 20, True)]
+    got = nearest_in_time(spark.createDataFrame(rows, "ticker string, at long, tracking_id long, asks boolean")).collect()
+    assert {r.tracking_id: r.nearest for r in got} == {5: 1, 9: 8, 20: None}
+
+
+def test_outcomes_join_over_both_vocabularies(spark):
+    from flowmill.operators.panels import outcome_stamped
+
+    history = spark.createDataFrame([("a", "BULLISH"), ("b", "BEARISH"), ("c", "LONG"), ("d", None)], "ticker string, direction string")
+    promoted = spark.createDataFrame([("a", "LONG"), ("c", "BULLISH")], "ticker string, direction string")
+    rejected = spark.createDataFrame([("b", "SHORT", "poor_rr"), ("b", "SHORT", "stale"), ("a", "SHORT", "x")], "ticker string, direction string, reject_reason string")
+    got = {r.ticker: r.outcome for r in outcome_stamped(history, promoted, rejected).collect()}
+    assert got == {"a": "promoted", "b": "rejected:poor_rr", "c": "promoted", "d": "not_evaluated"}
+
+
+def test_rank_tenor_is_thirty_days_or_the_first(spark):
+    from flowmill.operators.options import rank_tenor
+
+    rows = [("a", 7, 0.1, 1.0), ("a", 30, 0.2, 1.0), ("b", 60, 0.3, 1.0), ("b", 14, 0.4, 1.0)]
+    got = {r.ticker: r.days for r in rank_tenor(spark.createDataFrame(rows, "ticker string, days int, percentile double, volatility double")).collect()}
+    assert got == {"a": 30, "b": 14}
