@@ -75,8 +75,15 @@ def small_join(df: DataFrame, small: DataFrame, keys: list[str], salts: int = 64
     return left.join(right, [*same, left["_salt"] == right["_salt_r"]], "left").drop(*names.values(), "_salt", "_salt_r")
 
 
+def one_each(drawn: DataFrame, *keys: str) -> DataFrame:
+    """Of drawn rows that share the keys the one of the least text (null texts count as none), so that a repeated id
+    does not break a sample's bound. Copies are aggregated before they move."""
+    return drawn.groupBy(*keys).agg(F.min("text").alias("text"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, m: int, r: int, rows: int) -> DataFrame:
-    """At most `rows` labelled documents (text, y) that are not held out, those with the smallest hashed ids.
+    """At most `rows` labelled documents (text, y) that are not held out, those with the smallest hashed ids. Rows
+    that share an id count once.
 
     Ids are drawn from the narrow label table first, so only the drawn texts are moved."""
     drawn = (
@@ -84,7 +91,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, m: int, r: i
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    return one_each(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "doc_id", "y").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
 # ---- numpy kernels over Arrow batches ----------------------------------------------------------

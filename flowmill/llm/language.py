@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, one_each
 
 PER_LANG = 250
 LANDMARKS = 240
@@ -119,7 +119,7 @@ def train(docs: DataFrame) -> Model | None:
     can = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *HELD_OUT) & F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     drawn = can.select("lang", "doc_id").withColumn("_r", rank).filter(F.col("_r") <= PER_LANG).select("doc_id").distinct()
-    rows = sorted(can.select("doc_id", "lang", "text").join(F.broadcast(drawn), "doc_id").collect(), key=lambda r: (r.doc_id, r.lang, r.text))
+    rows = sorted(one_each(can.select("doc_id", "lang", "text").join(F.broadcast(drawn), "doc_id"), "doc_id", "lang").collect(), key=lambda r: (r.doc_id, r.lang, r.text))
     return Model([r.text for r in rows], [r.lang for r in rows]) if rows else None
 
 

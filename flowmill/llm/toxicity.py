@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, one_each, slices
 
 POSITIVES, UNLABELLED = 1500, 4000
 #: Features kept: those whose share among the positives most exceeds that among the unlabelled.
@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[int, float]:
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(sets, pa.list_(pa.int64()))], ["y", "t"])
 
     # the samples come to the driver as Arrow columns of numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "y").mapInArrow(seen_in, "y int, t array<long>").toArrow()
+    rows = one_each(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "doc_id", "y").select("text", "y").mapInArrow(seen_in, "y int, t array<long>").toArrow()
     y, t = rows.column("y").to_numpy(), rows.column("t").combine_chunks()
     if not len(y):
         return fit([], [], prior)
