@@ -80,3 +80,15 @@ def replay(plans: DataFrame, feat: DataFrame) -> DataFrame:
         *key, "as_of", "entry_date", "bucket", "entry", "stop", "t1", "t2", reason.alias("exit_reason"), (F.col("sign") * out).alias("exit_price"), day.alias("days_held"), "partial_filled", realized.alias("realized_r"),
         "mfe_r", "mae_r", F.when(F.col("mfe_r") > 0, F.col("mfe_day")).alias("mfe_day"), "hit_0_5r_within_3d", "hit_1r_within_5d", "hit_2r_within_5d", "hit_3r_within_10d",
     )
+
+
+def closed_trades(positions: DataFrame) -> DataFrame:
+    """positions (direction, entry_price, exit_price, risk_per_share, shares, ...) with pnl_pct, pnl_dollar and r_multiple of
+    each closed trade; the multiple is 0 where nothing was at risk, a null size counts as none."""
+    gain = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0) * (F.col("exit_price") - F.col("entry_price"))
+    plain = lambda c, n: F.round(c, n) + F.lit(0.0)
+    return positions.withColumns({
+        "pnl_pct": plain(F.try_divide(gain, F.col("entry_price")), 4),
+        "pnl_dollar": plain(gain * F.coalesce("shares", F.lit(0)), 2),
+        "r_multiple": plain(F.when(F.col("risk_per_share") > 0, F.try_divide(gain, F.col("risk_per_share"))).otherwise(0.0), 2),
+    })

@@ -183,3 +183,12 @@ def agg19(spark, d):
 @query("top11_worst_outcomes", f"WITH {PLAN_SQL} SELECT ticker, i, direction, round(realized_r, 4) AS realized_r FROM replay ORDER BY round(realized_r, 4), ticker, i LIMIT 10")
 def top11(spark, d):
     return replayed(spark, d).select("ticker", "i", "direction", F.round("realized_r", 4).alias("realized_r")).orderBy("realized_r", "ticker", "i").limit(10)
+
+
+@query("prj31_closed_pnl", f"""WITH {PLAN_SQL}, c AS (SELECT *, CAST(floor(10000 / (s * en)) AS BIGINT) AS shares, x - en AS gain FROM replay)
+SELECT ticker, i, direction, shares, round(gain / (s * en), 4) + 0 AS pnl_pct, round(gain * shares, 2) + 0 AS pnl_dollar, round(gain / atr, 2) + 0 AS r_multiple, days_held, exit_reason FROM c""")
+def prj31(spark, d):
+    """Closed trades of ten thousand each over all replayed plans."""
+    p = replayed(spark, d).select("ticker", "i", "direction", F.col("entry").alias("entry_price"), "exit_price", F.abs(F.col("entry") - F.col("stop")).alias("risk_per_share"), "days_held", "exit_reason")
+    p = p.withColumn("shares", F.floor(10000 / F.col("entry_price")))
+    return R.closed_trades(p).select("ticker", "i", "direction", "shares", "pnl_pct", "pnl_dollar", "r_multiple", "days_held", "exit_reason")

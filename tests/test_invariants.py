@@ -170,3 +170,11 @@ def test_rank_tenor_is_thirty_days_or_the_first(spark):
     rows = [("a", 7, 0.1, 1.0), ("a", 30, 0.2, 1.0), ("b", 60, 0.3, 1.0), ("b", 14, 0.4, 1.0)]
     got = {r.ticker: r.days for r in rank_tenor(spark.createDataFrame(rows, "ticker string, days int, percentile double, volatility double")).collect()}
     assert got == {"a": 30, "b": 14}
+
+
+def test_closed_trades_of_both_sides(spark):
+    from flowmill.operators.replay import closed_trades
+
+    rows = [("LONG", 100.0, 110.0, 4.0, 10), ("SHORT", 100.0, 110.0, 4.0, 10), ("SHORT", 50.0, 45.0, 0.0, None)]
+    got = closed_trades(spark.createDataFrame(rows, "direction string, entry_price double, exit_price double, risk_per_share double, shares long")).collect()
+    assert [(r.pnl_pct, r.pnl_dollar, r.r_multiple) for r in got] == [(0.1, 100.0, 2.5), (-0.1, -100.0, -2.5), (0.1, 0.0, 0.0)]
