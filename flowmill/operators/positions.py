@@ -86,7 +86,7 @@ def conviction_stack(df: DataFrame) -> DataFrame:
 # ---- ranked reasons ----------------------------------------------------------------------------
 
 
-def ranked_reasons(parts: dict[str, tuple[Column, float]], most_drivers: int = 3, drag_below: float = 0.25) -> tuple[Column, Column]:
+def ranked_reasons(parts: dict[str, tuple[Column, float]], most_drivers: int = 3, drag_below: float = 0.2) -> tuple[Column, Column]:
     """(drivers, drag) of (points, most points) by part: up to three parts with points, most first, and of the others
     the one with the least share of its points, if below `drag_below`. Null points are missing parts; ties keep the
     given order."""
@@ -186,7 +186,8 @@ def position_health(df: DataFrame) -> DataFrame:
     plus, minus = ("h_trend", "h_structure", "h_momentum", "h_target", "h_options"), ("h_decay", "h_stop")
     flow = _sum([F.col(f"h_{k}") for k in flow_penalties()])
     health = clamp(_sum([F.col(c) for c in plus]) - F.col(minus[0]) - F.col(minus[1]) - flow, 0, 10)
-    return df.withColumns({"health": half_up(health, 2), "health_state": F.when(health >= 7, "STRONG").when(health >= 4, "NEUTRAL").when(health >= 2, "WEAK").otherwise("FAILING")})
+    level = half_up(health, 6)  # a sum that ends on a limit up to rounding has reached it
+    return df.withColumns({"health": half_up(health, 2), "health_state": F.when(level >= 7, "STRONG").when(level >= 4, "NEUTRAL").when(level >= 2, "WEAK").otherwise("FAILING")})
 
 
 # ---- regimes -----------------------------------------------------------------------------------
@@ -259,7 +260,7 @@ def alignment_bonuses(df: DataFrame) -> DataFrame:
     step = F.when(long_, F.col("momentum")).otherwise(-F.col("momentum"))
     insider = ((long_ & (F.col("insider") == "buying")) | (~long_ & (F.col("insider") == "selling"))) & (F.col("insider_buy_notional") >= 50_000)
     bonus = {
-        "options_bonus": share * 0.1 + volume * 0.05, "ticks_bonus": F.coalesce(0.056 * mine("tick_share") + 0.13 * F.greatest(F.lit(0.0), F.coalesce(step, F.lit(0.0))), F.lit(0.0)),
+        "options_bonus": share * 0.06 + volume * 0.05, "ticks_bonus": F.coalesce(0.056 * mine("tick_share") + 0.13 * F.greatest(F.lit(0.0), F.coalesce(step, F.lit(0.0))), F.lit(0.0)),
         "prints_bonus": F.coalesce(0.05 * mine("print_share"), F.lit(0.0)), "earnings_penalty": F.when(F.col("days_to_earnings") <= 5, -0.5).otherwise(0.0), "insider_bonus": F.when(insider, 0.3).otherwise(0.0),
     }
     return df.withColumns(bonus).withColumn("aligned_score", F.col("final_score") + _sum([F.col(k) for k in bonus]))
@@ -273,3 +274,11 @@ def freight_train(df: DataFrame, heat: DataFrame, least_streak: int = 4, least_f
     hot = (F.coalesce("heat", F.lit(0.0)) >= floor) | F.coalesce(F.array_contains("_tops", F.col("ticker")), F.lit(False))
     ok = (F.col("n") >= least_streak) & (F.col("mean_flow") >= least_flow) & (F.col("flow_trend") == "rising") & F.col("sector").isNotNull() & hot
     return j.withColumn("freight_train", F.coalesce(ok, F.lit(False))).drop("_tops")
+
+
+def latest_exposures(df: DataFrame, greeks: tuple[str, ...] = ("gamma", "vanna", "charm")) -> DataFrame:
+    """The newest row of each ticker (event_ts, call_<greek>, put_<greek>, puts signed) as as_of and net_<greek>, call
+    plus put; null only where both are."""
+    net = lambda g: F.when(F.col(f"call_{g}").isNotNull() | F.col(f"put_{g}").isNotNull(), F.coalesce(f"call_{g}", F.lit(0.0)) + F.coalesce(f"put_{g}", F.lit(0.0)))
+    last = df.groupBy("ticker").agg(F.max("event_ts").alias("as_of"), F.max_by(F.struct(*[net(g).alias(g) for g in greeks]), "event_ts").alias("_last"))
+    return last.select("ticker", "as_of", *[F.col(f"_last.{g}").alias(f"net_{g}") for g in greeks])
