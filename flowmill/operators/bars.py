@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ATR_ALPHA = 1 / 14
+#: Bars in a block of the exponential means.
+BLOCK = 1000
 
 def W():
     """Bars of a ticker in order of date."""
@@ -27,13 +29,28 @@ def clean(df: DataFrame) -> DataFrame:
     return out.withColumn("volume", F.col("volume").cast("long"))
 
 
-def ewm(x: Column, alpha: float) -> Column:
-    """Exponential mean, unadjusted, of x over the bars so far: the closed form of the recursion, one running sum
-    over the bar number i, which counts from 0. Good for some thousand bars; (1 - alpha)^-i then leaves the range of a double."""
-    q, i = 1 - alpha, F.col("i")
-    first = F.first(x).over(rows(Window.unboundedPreceding, 0))
-    part = F.sum(F.when(i == 0, 0.0).otherwise(x * F.pow(F.lit(q), -i))).over(rows(Window.unboundedPreceding, 0))
-    return F.pow(F.lit(q), i) * (first + alpha * part)
+def with_ewm(b: DataFrame, means: dict[str, tuple[Column, float, int]]) -> DataFrame:
+    """b with exponential means, unadjusted: name -> (values, alpha, first bar number), null before the first bar. b
+    has the bar number i, from 0.
+
+    Within a block of BLOCK bars the recursion has a closed form in one running sum, whose powers stay within a double
+    at any length of the series; the mean at the end of the block before is carried in. What lies before that block
+    weighs (1 - alpha)^BLOCK, less than a double resolves. The blocks' windows share the tickers' shuffle."""
+    b = b.withColumn("_block", F.floor(F.col("i") / BLOCK))
+    here = Window.partitionBy("ticker", "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("ticker").orderBy("_block", "date").rowsBetween(Window.unboundedPreceding, -1)
+    i, at = F.col("i"), F.pmod(F.col("i"), F.lit(BLOCK))
+    own, whole = {}, {}
+    for name, (x, alpha, start) in means.items():
+        q = 1 - alpha
+        if q**BLOCK > 2.0**-53:
+            raise ValueError(f"alpha {alpha} is too small for blocks of {BLOCK} bars")
+        j = at - F.when(F.col("_block") == 0, start).otherwise(0)
+        weighed = F.when(i == start, x).when(i > start, alpha * x * F.pow(F.lit(q), -j))
+        own[f"_own_{name}"] = F.pow(F.lit(q), j) * F.coalesce(F.sum(weighed).over(here), F.lit(0.0))
+        carried = F.last(F.when(at == BLOCK - 1, F.col(f"_own_{name}")), ignorenulls=True).over(before)
+        whole[name] = F.when(i >= start, F.col(f"_own_{name}") + F.pow(F.lit(q), j + 1) * F.coalesce(carried, F.lit(0.0)))
+    return b.withColumns(own).withColumns(whole).drop("_block", *own)
 
 
 def features(bars: DataFrame) -> DataFrame:
@@ -50,28 +67,20 @@ def features(bars: DataFrame) -> DataFrame:
     known = F.col("prev_close").isNotNull()  # greatest() skips nulls
     gain, loss = F.greatest(F.col("close") - F.col("prev_close"), F.lit(0.0)), F.greatest(F.col("prev_close") - F.col("close"), F.lit(0.0))
     b = b.withColumns({"_gain": F.when(known, gain), "_loss": F.when(known, loss)})
-    b = b.withColumns({
-        "atr14": ewm(F.col("tr"), ATR_ALPHA), "ema20": ewm(F.col("close"), 2 / 21), "ema50": ewm(F.col("close"), 2 / 51), "rel_volume": F.try_divide(F.col("volume").cast("double"), F.nullif("vol_ma20", F.lit(0.0))),
-        "_sp": ewm(F.col("_plus"), ATR_ALPHA), "_sm": ewm(F.col("_minus"), ATR_ALPHA),
-        "_g": _after_first("_gain"), "_l": _after_first("_loss"),
+    b = b.withColumn("rel_volume", F.try_divide(F.col("volume").cast("double"), F.nullif("vol_ma20", F.lit(0.0))))
+    b = with_ewm(b, {
+        "atr14": (F.col("tr"), ATR_ALPHA, 0), "ema20": (F.col("close"), 2 / 21, 0), "ema50": (F.col("close"), 2 / 51, 0),
+        "_sp": (F.col("_plus"), ATR_ALPHA, 0), "_sm": (F.col("_minus"), ATR_ALPHA, 0), "_g": (F.col("_gain"), ATR_ALPHA, 1), "_l": (F.col("_loss"), ATR_ALPHA, 1),
     })
     plus, minus = 100 * F.try_divide("_sp", "atr14"), 100 * F.try_divide("_sm", "atr14")
     b = b.withColumn("_dx", F.abs(plus - minus) / F.when(plus + minus == 0, 1e-9).otherwise(plus + minus) * 100)
-    b = b.withColumns({
-        "adx": ewm(F.coalesce("_dx", F.lit(0.0)), ATR_ALPHA), "ema20_slope": F.try_divide(F.col("ema20") - F.lag("ema20", 5).over(W()), F.col("atr14")), "ema50_slope": F.try_divide(F.col("ema50") - F.lag("ema50", 5).over(W()), F.col("atr14")),
+    b = with_ewm(b, {"adx": (F.coalesce("_dx", F.lit(0.0)), ATR_ALPHA, 0)}).withColumns({
+        "ema20_slope": F.try_divide(F.col("ema20") - F.lag("ema20", 5).over(W()), F.col("atr14")), "ema50_slope": F.try_divide(F.col("ema50") - F.lag("ema50", 5).over(W()), F.col("atr14")),
         "rsi14": F.when(F.col("i") >= 14, 100 - 100 / (1 + F.try_divide("_g", F.nullif("_l", F.lit(0.0))))),
     })
     return b.drop("_up", "_down", "_plus", "_minus", "_sp", "_sm", "_dx", "_gain", "_loss", "_g", "_l")
 
 
-def _after_first(c: str) -> Column:
-    """ewm over the values from the second bar on."""
-    q, j = 1 - ATR_ALPHA, F.col("i") - 1
-    first = F.first(F.col(c), ignorenulls=True).over(rows(Window.unboundedPreceding, 0))
-    part = F.sum(F.when(j >= 1, F.col(c) * F.pow(F.lit(q), -j))).over(rows(Window.unboundedPreceding, 0))
-    return F.when(j >= 0, F.pow(F.lit(q), j) * (first + ATR_ALPHA * F.coalesce(part, F.lit(0.0))))
-
-
 def trend() -> dict[str, Column]:
     """Trend state and strength from the EMA stack, ADX and slopes; a recovering trend counts 0.7."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))

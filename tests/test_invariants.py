@@ -178,3 +178,18 @@ def test_closed_trades_of_both_sides(spark):
     rows = [("LONG", 100.0, 110.0, 4.0, 10), ("SHORT", 100.0, 110.0, 4.0, 10), ("SHORT", 50.0, 45.0, 0.0, None)]
     got = closed_trades(spark.createDataFrame(rows, "direction string, entry_price double, exit_price double, risk_per_share double, shares long")).collect()
     assert [(r.pnl_pct, r.pnl_dollar, r.r_multiple) for r in got] == [(0.1, 100.0, 2.5), (-0.1, -100.0, -2.5), (0.1, 0.0, 0.0)]
+
+
+def test_exponential_means_of_a_long_series_are_the_recursion(spark):
+    n, shape = 20_000, "sin(id / 7D) * 5 + 100"
+    raw = spark.range(n).selectExpr("'A' AS ticker", "date_add(DATE'1950-01-01', int(id)) AS date", f"{shape} AS open", f"{shape} + 1 AS high", f"{shape} - 1 AS low", f"{shape} + cos(id * 1.3D) AS close", "100L AS volume")
+    got = B.features(raw).select("date", "close", "tr", "ema50", "atr14", "adx", "rsi14").orderBy("date").collect()
+    ema, atr, gain, loss = got[0].close, got[0].tr, 0.0, 0.0
+    for k, r in enumerate(got[1:], 1):
+        ema += (r.close - ema) * 2 / 51
+        atr += (r.tr - atr) / 14
+        d = r.close - got[k - 1].close
+        gain = max(d, 0) if k == 1 else gain + (max(d, 0) - gain) / 14
+        loss = max(-d, 0) if k == 1 else loss + (max(-d, 0) - loss) / 14
+        assert abs(r.ema50 - ema) < 1e-9 and abs(r.atr14 - atr) < 1e-9 and 0 <= r.adx <= 100
+        assert k < 14 or abs(r.rsi14 - (100 - 100 / (1 + gain / loss))) < 1e-7
