@@ -1,12 +1,17 @@
 """Language identification with string kernels.
 
 A text is the set of its letter n-grams (n = 1 to GRAM, words bounded by a blank): the blended-spectrum presence
-kernel of two texts is the number of n-grams both have over the root of the product of their numbers. Landmark
-texts give a Nyström map of that kernel, and one-versus-rest kernel ridge regression is solved in it. Both are
-linear in the presence vector over the landmarks' n-grams, so a batch is scored by one matrix product.
+kernel of two texts is the number of n-grams both have over the root of the product of their numbers. Every code point
+is a symbol of its own and n-grams are numbered exactly, so the kernel is that of the whole sets. Landmark texts give a
+Nyström map, and one-versus-rest kernel ridge regression is solved in it. The score is linear in the presence of the
+landmarks' n-grams over the root of the text's own number, so a batch is scored by one matrix product.
 
-The model is fitted on a bounded sample: PER_LANG texts of each language, of which LANDMARKS in all are landmarks.
-Prediction sees nothing but the text."""
+The model is fitted on a bounded sample: PER_LANG texts of each language, at most SAMPLE in all, of which LANDMARKS
+are landmarks. Prediction sees nothing but the text.
+
+Null ids are never learned from. Rows that share an id and a language count once in the sample (the least text); every row
+is predicted, repeated rows alike. Equal scores go to the first language by name. A text is read whole at any length.
+Columns other than doc_id, text and lang are ignored, whatever their names. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -17,15 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, one_each
+from .common import held_out, one_each, slices
 
 PER_LANG = 250
+SAMPLE = 4000
 LANDMARKS = 240
 GRAM = 3
-#: Letters that get a symbol of their own; the others share one.
-ALPHABET = 200
-#: N-grams of the landmarks that span the presence space, most frequent first.
-VOCABULARY = 12_000
+#: Bits of a symbol: any code point plus one.
+BITS = 21
 RIDGE = 1e-3
 SHARPNESS = 6.0
 HELD_OUT = (5, 0)
@@ -47,80 +51,94 @@ def letters(text: str) -> np.ndarray:
     return np.where(is_letter, points, 0)
 
 
-def codes(points: np.ndarray, symbol: dict[int, int]) -> list[np.ndarray]:
-    """N-gram codes for n = 1 to GRAM, of symbols with runs of blanks made one."""
-    base = len(symbol) + 2
-    seen, back = np.unique(points, return_inverse=True)
-    s = np.array([0 if p == 0 else symbol.get(p, base - 1) for p in seen.tolist()], np.int64)[back]
-    s = np.concatenate([[0], s, [0]])
-    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-    out, code = [], s
-    for n in range(1, GRAM + 1):
-        if n > 1:
-            code = code[:-1] * base + s[n - 1 :] if len(code) > 1 else code[:0]
-        out.append(code)
-    return out
+def grams(text: str | None) -> np.ndarray:
+    """The sorted distinct n-grams of a text, n = 1 to GRAM, as numbers; runs of blanks are one. Symbols count from one, so
+    n-grams of unlike lengths differ. Empty if the text has no letter."""
+    points = letters(text or "")
+    if not points.any():
+        return np.zeros(0, np.int64)
+    s = np.concatenate([[0], points, [0]]).astype(np.int64)
+    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])] + 1
+    every, code = [s], s
+    for n in range(2, GRAM + 1):
+        code = (code[:-1] << BITS) + s[n - 1 :]
+        every.append(code)
+    return np.unique(np.concatenate(every))
 
 
 class Model:
-    def __init__(self, texts: list[str], langs: list[str]):
-        """texts and langs of the sample; texts without letters must not be among them."""
+    def __init__(self, sets: list[np.ndarray], langs: list[str]):
+        """sets: the n-grams of the sample's texts, none of them empty."""
         self.langs = sorted(set(langs))
-        marks = list(range(0, len(texts), max(1, -(-len(texts) // LANDMARKS))))
-        points = [letters(t) for t in texts]
-        ids, counts = np.unique(np.concatenate([points[i] for i in marks]), return_counts=True)
-        top = sorted((-c, i) for i, c in zip(ids.tolist(), counts.tolist(), strict=True) if i)[:ALPHABET]
-        self.symbol = {p: k + 1 for k, (_, p) in enumerate(top)}
-        base = len(self.symbol) + 2
-        freq = [np.zeros(base**n, np.int32) for n in range(1, GRAM + 1)]
-        for i in marks:
-            for f, c in zip(freq, codes(points[i], self.symbol), strict=True):
-                f[np.unique(c)] += 1
-        every = np.concatenate(freq)
-        keep = np.sort(np.argsort(-every, kind="stable")[: min(VOCABULARY, int((every > 0).sum()))])
-        self.width = len(keep)
-        column = np.full(len(every), self.width, np.int16)
-        column[keep] = np.arange(self.width)
-        at = np.cumsum([0, *[len(f) for f in freq]])
-        self.columns = [column[at[n] : at[n + 1]] for n in range(GRAM)]
-        x = self._normal(self.presence(points))
-        land = x[marks]
-        values, vectors = np.linalg.eigh((land @ land.T).astype(np.float64))
+        marks = list(range(0, len(sets), max(1, -(-len(sets) // LANDMARKS))))
+        self.known = np.unique(np.concatenate([sets[i] for i in marks]))
+        self.land = np.zeros((len(self.known), len(marks)), bool)
+        for k, i in enumerate(marks):
+            self.land[np.searchsorted(self.known, sets[i]), k] = True
+        self.size = np.sqrt(self.land.sum(0))
+        x = self.kernel(sets)
+        values, vectors = np.linalg.eigh(x[marks])
         good = values > 1e-6 * values.max()
-        nystrom = land.T @ (vectors[:, good] / np.sqrt(values[good]))
+        nystrom = vectors[:, good] / np.sqrt(values[good])
         phi = np.column_stack([x @ nystrom, np.ones(len(x))])
         y = np.where(np.array(langs)[:, None] == np.array(self.langs), 1.0, -1.0)
         beta = np.linalg.solve(phi.T @ phi + RIDGE * len(x) * np.eye(phi.shape[1]), phi.T @ y)
-        self.weights, self.bias = (nystrom @ beta[:-1]).astype(np.float32), beta[-1]
-
-    def presence(self, points: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(points), self.width + 1), np.float32)
-        for row, p in zip(out, points, strict=True):
-            for column, c in zip(self.columns, codes(p, self.symbol), strict=True):
-                row[column[c]] = 1
-        return out[:, : self.width]
-
-    @staticmethod
-    def _normal(x: np.ndarray) -> np.ndarray:
-        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        # the landmarks' coefficients, spread over their n-grams
+        alpha = (nystrom @ beta[:-1]) / self.size[:, None]
+        self.weights = np.concatenate([self.land[at : at + 10_000] @ alpha for at in range(0, len(self.known), 10_000)]).astype(np.float32)
+        self.bias = beta[-1]
+
+    def places(self, s: np.ndarray) -> np.ndarray:
+        """Where the n-grams that a landmark has stand in `known`."""
+        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
+        return at[self.known[at] == s]
+
+    def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Kernel of each set with each landmark."""
+        shared = np.array([self.land[self.places(s)].sum(0) for s in sets], np.float64)
+        return shared / self.size / np.sqrt(np.maximum([[len(s)] for s in sets], 1))
+
+    def raw(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Ridge scores: presence over the batch's n-grams times their weights."""
+        at = [self.places(s) for s in sets]
+        columns = np.unique(np.concatenate(at))
+        presence = np.zeros((len(sets), len(columns)), np.float32)
+        for row, p, s in zip(presence, at, sets, strict=True):
+            row[np.searchsorted(columns, p)] = 1 / np.sqrt(max(len(s), 1))
+        return presence @ self.weights[columns] + self.bias
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        points = [letters(t or "") for t in texts]
-        raw = self._normal(self.presence(points)) @ self.weights + self.bias
+        sets = [grams(t) for t in texts]
+        raw = self.raw(sets)
         e = np.exp(SHARPNESS * (raw - raw.max(1, keepdims=True)))
         p = e / e.sum(1, keepdims=True)
         best = p.argmax(1)
-        return [(self.langs[b], float(p[i, b])) if points[i].any() else (UNKNOWN, 0.0) for i, b in enumerate(best)]
+        return [(self.langs[b], float(p[i, b])) if len(sets[i]) else (UNKNOWN, 0.0) for i, b in enumerate(best)]
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Fit on the PER_LANG texts with the least hashed ids of each language, held-out rows apart. The per-language
-    limit is a window rank, which Spark cuts before the shuffle."""
-    can = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *HELD_OUT) & F.col("text").rlike(r"\p{L}"))
+    """Fit on the PER_LANG texts with the least hashed ids of each language, held-out rows apart, SAMPLE in all (each
+    language's first texts come first). The per-language limit is a window rank, which Spark cuts before the shuffle;
+    the sample reaches the driver as n-gram numbers."""
+    can = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *HELD_OUT) & F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = can.select("lang", "doc_id").withColumn("_r", rank).filter(F.col("_r") <= PER_LANG).select("doc_id").distinct()
-    rows = sorted(one_each(can.select("doc_id", "lang", "text").join(F.broadcast(drawn), "doc_id"), "doc_id", "lang").collect(), key=lambda r: (r.doc_id, r.lang, r.text))
-    return Model([r.text for r in rows], [r.lang for r in rows]) if rows else None
+    ranked = can.select("lang", "doc_id").distinct().withColumn("_r", rank).filter(F.col("_r") <= PER_LANG)
+    drawn = ranked.orderBy("_r", F.xxhash64("doc_id", "lang"), "doc_id", "lang").limit(SAMPLE).select("doc_id", "lang")
+
+    def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [grams(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "lang", "g"])
+
+    rows = one_each(can.join(F.broadcast(drawn), ["doc_id", "lang"]), "doc_id", "lang").select(F.col("doc_id").cast("long"), "lang", "text")
+    t = rows.mapInArrow(seen_in, "doc_id long, lang string, g array<long>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    found = t.column("g").combine_chunks()
+    if not len(t):
+        return None
+    off, values = found.offsets.to_numpy(), found.values.to_numpy()
+    sets, langs = [values[a:b] for a, b in zip(off, off[1:], strict=False)], t.column("lang").to_pylist()
+    some = [(g, x) for g, x in zip(sets, langs, strict=True) if len(g)]
+    return Model([g for g, _ in some], [x for _, x in some]) if some else None
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -130,7 +148,7 @@ def identify(docs: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for at in range(0, batch.num_rows, BATCH):
                 b = batch.slice(at, BATCH)
                 texts = b.column("text").to_pylist()

@@ -51,19 +51,47 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in language.identify(odd(spark).drop("lang").selectExpr("*", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def plain_grams(t):
+    s = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+
+TEXTS = ["Die Katze schläft, ja.", "the cat sleeps now", "die Kuh läuft", "the cow runs fast", "".join(chr(0x4E00 + 7 * i) + " " * (i % 5 == 0) for i in range(900)), "".join(chr(0x20000 + i) for i in range(60)), "the cat " * 5000]
+LANGS = ["de", "en", "de", "en", "zh", "zh", "en"]
+
+
 def test_kernel_equals_set_arithmetic():
-    texts = ["Die Katze schläft, ja.", "the cat sleeps now", "die Kuh läuft", "the cow runs fast"]
-    m = language.Model(texts, ["de", "en", "de", "en"])
-    x = m._normal(m.presence([language.letters(t) for t in texts]))
-
-    def grams(t):
-        s = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
-        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
-
-    g = [grams(t) for t in texts]
-    for i in range(4):
-        for j in range(4):
-            assert abs(float(x[i] @ x[j]) - len(g[i] & g[j]) / np.sqrt(len(g[i]) * len(g[j]))) < 1e-5
+    m = language.Model([language.grams(t) for t in TEXTS], LANGS)
+    x, g = m.kernel([language.grams(t) for t in TEXTS]), [plain_grams(t) for t in TEXTS]
+    for i in range(len(TEXTS)):
+        assert len(language.grams(TEXTS[i])) == len(g[i])
+        for j in range(len(TEXTS)):
+            assert abs(float(x[i, j]) - len(g[i] & g[j]) / np.sqrt(len(g[i]) * len(g[j]))) < 1e-9
+
+
+def test_language_scores_equal_plain_kernel_ridge():
+    m = language.Model([language.grams(t) for t in TEXTS], LANGS)
+    new = [*TEXTS, "the dog sleeps", "der Hund schläft", chr(0x4E07) * 3, "x"]
+    k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    g, q = [plain_grams(t) for t in TEXTS], [plain_grams(t) for t in new]
+    gram, cross = np.array([[k(a, b) for b in g] for a in g]), np.array([[k(a, b) for b in g] for a in q])
+    values, vectors = np.linalg.eigh(gram)
+    half = vectors / np.sqrt(values)
+    phi, seen = np.column_stack([gram @ half, np.ones(len(g))]), np.column_stack([cross @ half, np.ones(len(q))])
+    y = np.array([[1.0 if x == c else -1.0 for c in sorted(set(LANGS))] for x in LANGS])
+    beta = np.linalg.solve(phi.T @ phi + language.RIDGE * len(g) * np.eye(phi.shape[1]), phi.T @ y)
+    want = seen @ beta
+    assert np.abs(m.raw([language.grams(t) for t in new]) - want).max() < 1e-4
+    assert [x for x, _ in m.predict(new)] == [sorted(set(LANGS))[i] for i in want.argmax(1)]
+
+
+def test_language_sample_is_bounded_and_ignores_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 6)
+    rows = [(i % 40, f"word number {'abcdefgh'[i % 8] * 3} here", f"l{i % 9}", "x", 0.5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, score double")
+    model = language.train(docs)
+    assert model.land.shape[1] <= 6 and len(model.langs) <= 6
+    assert language.identify(docs.withColumnRenamed("score", "lang_pred")).count() == 400
 
 
 def test_quality(spark, tables):
