@@ -128,8 +128,36 @@ def test_risk_is_not_negative_and_finds_hidden_positives():
     bad = lambda: np.append(clean(), 999)
     positive, hidden = [bad() for _ in range(150)], [bad() for _ in range(60)]
     model = toxicity.fit(positive, hidden + [clean() for _ in range(540)], 0.1)
-    z = lambda s: model[-1] + sum(model.get(int(t), 0) for t in s)
-    assert np.mean([z(s) > 0 for s in hidden]) > 0.9 and np.mean([z(clean()) > 0 for _ in range(300)]) < 0.05
+    assert np.mean(model.raw(hidden) > 0) > 0.9 and np.mean(model.raw([clean() for _ in range(300)]) > 0) < 0.05
+
+
+def plain_risk(positive, unlabelled, worth, w, bias, prior, part):
+    f = lambda s: bias + sum(w[t] * worth[t] for t in s)
+    loss = lambda z: np.log1p(np.exp(z))
+    up = prior * np.mean([loss(-f(s)) for s in positive])
+    down = np.mean([loss(f(s)) for s in unlabelled]) - prior * np.mean([loss(f(s)) for s in positive])
+    return {"both": up + down, "reversed": -down, "down": down}[part]
+
+
+@pytest.mark.parametrize(("bias", "part"), [(-1.0, "both"), (1.5, "reversed")])
+def test_gradient_equals_differences_of_the_plain_risk(bias, part):
+    rng = np.random.default_rng(5)
+    sets = lambda n, hi: [np.unique(rng.integers(0, hi, 6)) for _ in range(n)]
+    positive, unlabelled = sets(9, 12), sets(14, 20)
+    names, worth = toxicity.telling(positive, unlabelled)
+    by = dict(zip(names.tolist(), worth.tolist(), strict=True))
+    w = rng.normal(0, 0.3, len(names)) - (0 if part == "both" else np.array([3.0 if t >= 12 else -3.0 for t in names]))
+    prior = 0.2 if part == "both" else 0.9
+    named = lambda x: dict(zip(names.tolist(), x.tolist(), strict=True))
+    assert (plain_risk(positive, unlabelled, by, named(w), bias, prior, "down") < 0) == (part == "reversed")
+    g, g_bias = toxicity.gradient(toxicity.Sparse(positive, names, worth), toxicity.Sparse(unlabelled, names, worth), w, bias, prior)
+    for k in range(len(names)):
+        step = np.zeros(len(names))
+        step[k] = 1e-5
+        d = (plain_risk(positive, unlabelled, by, named(w + step), bias, prior, part) - plain_risk(positive, unlabelled, by, named(w - step), bias, prior, part)) / 2e-5
+        assert abs(d - g[k]) < 1e-7
+    d = (plain_risk(positive, unlabelled, by, named(w), bias + 1e-5, prior, part) - plain_risk(positive, unlabelled, by, named(w), bias - 1e-5, prior, part)) / 2e-5
+    assert abs(d - g_bias) < 1e-7
 
 
 def counts(text):
