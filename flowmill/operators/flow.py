@@ -105,3 +105,30 @@ def rank_candidates(agg: DataFrame, n: int = 10) -> DataFrame:
         ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order, "ticker"))).select("ticker", F.lit(side).alias("side"), "rank", F.col(f"{side}_score").alias("score"), F.col(f"{side}_premium").alias("premium"))
         out = ranked if out is None else out.unionByName(ranked)
     return out
+
+
+def history_baselines(days: DataFrame, floor: float = 1e8) -> DataFrame:
+    """Per ticker and date, both sides: premium over market cap, volume over open interest, flagged premium over the
+    tape's. days: ticker, date, feed (of rows that share a ticker and a date the greatest counts), marketcap,
+    bullish_/bearish_premium and call_/put_ premium, volume and open_interest. Tickers are trimmed and upper-cased;
+    those without a market cap of at least `floor` and rows without a date are left out; a ratio over nothing is null."""
+    d = days.withColumn("ticker", F.upper(F.trim("ticker"))).filter((F.col("ticker") != "") & F.col("date").isNotNull() & (F.col("marketcap") >= floor))
+    values = [c for c in days.columns if c not in ("ticker", "date", "feed")]
+    last = d.groupBy("ticker", "date").agg(F.max_by(F.struct(*values), "feed").alias("d")).select("ticker", "date", "d.*")
+    over = lambda a, b: F.try_divide(F.col(a).cast("double"), F.when(F.col(b) > 0, F.col(b)))
+    out = []
+    for side, kind in (("bullish", "call"), ("bearish", "put")):
+        out += [(F.col(f"{side}_premium") / F.col("marketcap")).alias(f"{side}_flow_intensity"), over(f"{kind}_volume", f"{kind}_open_interest").alias(f"{side}_vol_oi"), over(f"{side}_premium", f"{kind}_premium").alias(f"{side}_unusual_premium_share")]
+    return last.select("ticker", "date", *out)
+
+
+def event_coverage(events: DataFrame, by: str) -> DataFrame:
+    """Per group the share of events with a time, whether it reaches 0.8, and per side the premium-weighted share of
+    deltas that the vendor gave (null without premium). events: event_ts, direction, premium, delta_source."""
+    share = F.avg(F.col("event_ts").isNotNull().cast("double"))
+    mix = []
+    for side, way in SIDES:
+        on = F.col("direction") == way
+        given = F.sum(F.when(on & (F.col("delta_source") == "vendor"), F.col("premium")).when(on, 0.0))
+        mix.append(F.try_divide(given, F.sum(F.when(on, F.col("premium")))).alias(f"{side}_vendor_mix"))
+    return events.groupBy(by).agg(share.alias("coverage"), (share >= 0.8).alias("coverage_ok"), *mix)

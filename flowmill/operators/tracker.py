@@ -14,6 +14,7 @@ ABS_FLOOR, REL_FLOOR, SKEW_FLOOR = 100_000.0, 0.15, 0.10
 WEIGHTS = {"persistence": 0.25, "intensity": 0.20, "consistency": 0.25, "accel": 0.20, "mass": 0.05, "oi_change": 0.05}
 PCR_MULT, PCR_HISTORY, PCR_BULL, PCR_BEAR, HEDGE_CUT = 1.3, 10, 0.9, 0.5, 0.85
 LEAST_3D = 0.70
+OI_CEILING = 50.0
 GATE = ("min_active_days", "min_cum_premium", "min_prem_mcap_bps", "min_consistency", "min_day_persistence", "require_no_flips", "min_accel_t", "exclude_hedging", "min_grade_rank")
 GATES = {
     "2d": {"all": (2, 2e6, 0.50, 0.0, 0.0, False, -99.0, False, 0), "activity": (2, 10e6, 2.5, 0.0, 0.0, False, 0.0, True, 3), "strong": (2, 5e6, 2.0, 0.10, 1.0, True, -99.0, True, 3)},
@@ -44,9 +45,10 @@ def accumulate(rows: DataFrame, min_active: int = 2, min_premium: float = 250_00
     """Window sums and shape per (as_of, ticker): significant days, log-linear trend t statistic over all days with
     the degrees of freedom of the significant ones, consistency, day persistence and flips."""
     keys = ["as_of", "ticker"]
+    change = F.avg("total_oi_change_perc") if "total_oi_change_perc" in rows.columns else F.lit(None).cast("double")
     day = rows.groupBy(*keys, "snapshot_date").agg(
         F.sum("total_bullish_premium").alias("bull"), F.sum("total_bearish_premium").alias("bear"), F.max("marketcap").alias("marketcap"), F.max("close").alias("close"), F.avg("put_call_ratio").alias("pcr"),
-        F.max("perc_3_day_total").alias("p3"), F.max("dominant_dte_bucket").alias("bucket"), F.max("sector").alias("sector"), F.avg("sweep_share").alias("sweep"),
+        F.max("perc_3_day_total").alias("p3"), F.max("dominant_dte_bucket").alias("bucket"), F.max("sector").alias("sector"), F.avg("sweep_share").alias("sweep"), change.alias("oi"),
     ).withColumn("tot", F.col("bull") + F.col("bear"))
     w = Window.partitionBy(*keys)
     d = day.withColumn("idx", F.row_number().over(w.orderBy("snapshot_date")) - 1).withColumn("mean", F.avg("tot").over(w))
@@ -56,7 +58,7 @@ def accumulate(rows: DataFrame, min_active: int = 2, min_premium: float = 250_00
         F.count("*").alias("raw_days"), F.sum("bull").alias("cum_bull"), F.sum("bear").alias("cum_bear"), F.max_by("marketcap", "snapshot_date").alias("marketcap"), F.max_by("sector", "snapshot_date").alias("sector"),
         F.count_if(F.col("tot") >= F.greatest(F.lit(ABS_FLOOR), F.col("mean") * REL_FLOOR)).alias("active_days"), F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"),
         F.count_if(live & (skew / F.nullif("tot", F.lit(0.0)) >= SKEW_FLOOR)).alias("bull_days"), F.count_if(live & (skew / F.nullif("tot", F.lit(0.0)) <= -SKEW_FLOOR)).alias("bear_days"), F.count_if(live).alias("live_days"),
-        F.avg("pcr").alias("pcr"), F.median("pcr").alias("pcr_median"), F.count("pcr").alias("pcr_n"), F.max("p3").alias("perc_3d"), F.mode("bucket", True).alias("dominant_dte_bucket"), F.avg("sweep").alias("sweep_share"),
+        F.avg("pcr").alias("pcr"), F.median("pcr").alias("pcr_median"), F.count("pcr").alias("pcr_n"), F.max("p3").alias("perc_3d"), F.mode("bucket", True).alias("dominant_dte_bucket"), F.avg("sweep").alias("sweep_share"), F.avg("oi").alias("oi_change"),
         F.min_by("close", "snapshot_date").alias("first_close"), F.max_by("close", "snapshot_date").alias("last_close"),
     )
     cum = F.col("cum_bull") + F.col("cum_bear")
@@ -82,7 +84,7 @@ def scored(acc: DataFrame, total_days: DataFrame, lookback: int, horizon: str =
     a = acc.join(F.broadcast(total_days), "as_of")
     share = F.round(F.col("active_days") / F.col("total_days"), 2)
     a = a.withColumn("persistence_ratio", share).withColumn("trend", F.when(F.col("active_days") < 2, "steady").when(F.col("accel_t") > 1, "accelerating").when(F.col("accel_t") < -1, "fading").otherwise("steady"))
-    parts = {"persistence": F.col("persistence_ratio"), "intensity": log_norm(F.col("prem_mcap_bps"), 1.0, 30.0), "consistency": F.col("consistency"), "accel": clip01((F.col("accel_t") + 1) / 3), "mass": log_norm(F.col("cum_total"), 5e5, 5e7), "oi_change": F.lit(0.0)}
+    parts = {"persistence": F.col("persistence_ratio"), "intensity": log_norm(F.col("prem_mcap_bps"), 1.0, 30.0), "consistency": F.col("consistency"), "accel": clip01((F.col("accel_t") + 1) / 3), "mass": log_norm(F.col("cum_total"), 5e5, 5e7), "oi_change": F.least(F.abs(F.coalesce("oi_change", F.lit(0.0))) / OI_CEILING, F.lit(1.0))}
     raw = F.lit(0.0)
     for k, p in parts.items():
         raw = raw + WEIGHTS[k] * p

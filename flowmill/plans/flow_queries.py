@@ -278,3 +278,36 @@ def top12(spark, d):
     norm = lambda c: F.when(F.col(f"{c}1") == F.col(f"{c}0"), 0.5).otherwise((F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0")))
     r = s.crossJoin(F.broadcast(m)).select("ticker", F.round(0.45 * norm("p") + 0.25 * norm("n") + 0.20 * norm("b") + 0.10 * norm("w"), 6).alias("rank_score"))
     return r.select("ticker", "rank_score", F.round(F.col("rank_score") * 10, 2).alias("points"), F.row_number().over(Window.orderBy(F.desc("rank_score"), "ticker")).alias("rank"))
+
+
+_MIX = ", ".join(f"round(coalesce(sum(premium) FILTER (direction = '{w}' AND vendor IS NOT NULL), 0) / sum(premium) FILTER (direction = '{w}'), 6) AS {s}_vendor_mix" for s, w in O.SIDES)
+
+
+@query("agg29_event_coverage", f"""WITH {FLOW_SQL}{DELTA_SQL}, c AS (SELECT *, {OCC_SQL} AS id FROM delta), g AS (SELECT id, max(l_partkey % 90 + 5) / 100.0::DOUBLE AS vendor FROM c WHERE l_orderkey % 3 = 0 GROUP BY 1),
+m AS (SELECT *, CASE WHEN open_interest IS NOT NULL THEN event_ts END AS ts FROM c LEFT JOIN g USING (id))
+SELECT sector, round(avg(CASE WHEN ts IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, avg(CASE WHEN ts IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) >= 0.8 AS coverage_ok, {_MIX} FROM m GROUP BY 1""")
+def agg29(spark, d):
+    """Events without open interest stand for those that came without a time."""
+    f = flow(spark, d).withColumn("id", X.occ_id(F.col("ticker"), F.col("expiration_date"), F.col("option_type"), F.col("strike")))
+    greeks = f.filter("l_orderkey % 3 = 0").groupBy("id").agg((F.max(F.col("l_partkey") % 90 + 5) / 100.0).alias("vendor"))
+    e = X.delta_choice(f.join(greeks, "id", "left"), F.col("vendor")).withColumn("event_ts", F.when(F.col("open_interest").isNotNull(), F.col("event_ts")))
+    c = O.event_coverage(e, "sector")
+    return c.select("sector", "coverage_ok", *[F.round(x, 6).alias(x) for x in ("coverage", "bullish_vendor_mix", "bearish_vendor_mix")])
+
+
+_BASE = (("flow_intensity", 10), ("vol_oi", 6), ("unusual_premium_share", 6))
+
+
+@query("sta6_history_baselines", f"""WITH {FLOW_SQL}, h AS (SELECT ticker, event_date AS date, l_linenumber % 2 AS feed, max(marketcap) AS mc, {', '.join(f"coalesce(sum(premium) FILTER (direction = '{w}'), 0) AS {s}, coalesce(sum(premium) FILTER (option_type = '{k}'), 0) AS {s}_tape, coalesce(sum(volume) FILTER (option_type = '{k}'), 0) AS {s}_v, coalesce(sum(open_interest) FILTER (option_type = '{k}'), 0) AS {s}_oi" for s, w, k in (('bullish', 'LONG', 'CALL'), ('bearish', 'SHORT', 'PUT')))} FROM flow GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY feed DESC) AS r FROM h WHERE mc >= 1e8)
+SELECT upper(trim(ticker)) AS ticker, date, {', '.join(f"round({s} / mc, 10) AS {s}_flow_intensity, round(CAST({s}_v AS DOUBLE) / nullif({s}_oi, 0), 6) AS {s}_vol_oi, round({s} / nullif({s}_tape, 0), 6) AS {s}_unusual_premium_share" for s in ('bullish', 'bearish'))} FROM k WHERE r = 1""")
+def sta6(spark, d):
+    """Daily history; a day's two deliveries are its even and its odd line numbers."""
+    some = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    aggs = [F.max("marketcap").alias("marketcap")]
+    for side, way, kind in (("bullish", "LONG", "CALL"), ("bearish", "SHORT", "PUT")):
+        aggs.append(some("premium", F.col("direction") == way).alias(f"{side}_premium"))
+        aggs += [some(c, F.col("option_type") == kind).alias(f"{kind.lower()}_{c}") for c in ("premium", "volume", "open_interest")]
+    days = flow(spark, d).groupBy("ticker", F.col("event_date").alias("date"), (F.col("l_linenumber") % 2).alias("feed")).agg(*aggs)
+    b = O.history_baselines(days)
+    return b.select("ticker", "date", *[F.round(f"{s}_{c}", k).alias(f"{s}_{c}") for s in ("bullish", "bearish") for c, k in _BASE])

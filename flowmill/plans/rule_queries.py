@@ -103,11 +103,6 @@ def agg20(spark, d):
     return results(spark, d).agg(F.round(F.sum(F.when(long_, p)), 2).alias("long_exposure"), F.round(F.sum(F.when(~long_, p)), 2).alias("short_exposure"), F.round(F.sum(p), 2).alias("gross"), F.round(F.sum(F.when(long_, p).otherwise(-p)), 2).alias("net"), F.count_if(F.col("final_score") >= 7).alias("healthy"))
 
 
-@query("agg29_event_coverage", f"WITH {FLOW_SQL} SELECT sector, round(avg(CASE WHEN open_interest IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS oi_coverage, round(coalesce(sum(premium) FILTER (execution_side = 'ASK'), 0) / sum(premium), 6) AS ask_mix FROM flow GROUP BY 1")
-def agg29(spark, d):
-    return flow(spark, d).groupBy("sector").agg(F.round(F.avg(F.col("open_interest").isNotNull().cast("double")), 6).alias("oi_coverage"), F.round(F.coalesce(F.sum(F.when(F.col("execution_side") == "ASK", F.col("premium"))), F.lit(0.0)) / F.sum("premium"), 6).alias("ask_mix"))
-
-
 @query("opt6_latest_row", f"WITH {TENOR_SQL} SELECT ticker, arg_max(days, days) AS days, arg_max(volatility, days) AS volatility FROM tn WHERE days <= 100 GROUP BY 1")
 def opt6(spark, d):
     return tenors(spark, d).filter("days <= 100").groupBy("ticker").agg(F.max_by(F.struct("days", "volatility"), "days").alias("t")).select("ticker", "t.days", "t.volatility")

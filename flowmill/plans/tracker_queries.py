@@ -20,8 +20,8 @@ def _as_of(spark):
 
 
 def _snaps(spark, d):
-    """Snapshots with premiums scaled to the tracker's floors."""
-    s = snapshots(spark, d).withColumn("dominant_dte_bucket", F.when(F.col("sweep_share") > 0.5, "31-90").otherwise("0-7"))
+    """Snapshots with premiums scaled to the tracker's floors, and a change of open interest in percent."""
+    s = snapshots(spark, d).withColumn("dominant_dte_bucket", F.when(F.col("sweep_share") > 0.5, "31-90").otherwise("0-7")).withColumn("total_oi_change_perc", F.col("iv_rank") - 50)
     return s.withColumns({c: F.col(c) * 100 for c in ("total_bullish_premium", "total_bearish_premium")})
 
 
@@ -43,13 +43,13 @@ def _log(x: str, lo: str, hi: str) -> str:
 
 TRACK_SQL = SNAPSHOTS_SQL + f""",
 asofs AS (SELECT unnest([{', '.join(f"DATE '{x}'" for x in AS_OF)}]) AS as_of),
-tw AS (SELECT as_of, ticker, snapshot_date, sector, close, marketcap, put_call_ratio, perc_3_day_total, sweep_share, total_bullish_premium * 100 AS bull, total_bearish_premium * 100 AS bear, CASE WHEN sweep_share > 0.5 THEN '31-90' ELSE '0-7' END AS bucket
+tw AS (SELECT as_of, ticker, snapshot_date, sector, close, marketcap, put_call_ratio, perc_3_day_total, sweep_share, iv_rank - 50 AS oi, total_bullish_premium * 100 AS bull, total_bearish_premium * 100 AS bear, CASE WHEN sweep_share > 0.5 THEN '31-90' ELSE '0-7' END AS bucket
   FROM snapshots JOIN asofs ON snapshot_date <= as_of AND snapshot_date > as_of - {DAYS}),
 td AS (SELECT as_of, count(DISTINCT snapshot_date) AS total_days FROM tw GROUP BY 1),
 t1 AS (SELECT *, bull + bear AS tot, row_number() OVER (PARTITION BY as_of, ticker ORDER BY snapshot_date) - 1 AS idx, avg(bull + bear) OVER (PARTITION BY as_of, ticker) AS mean FROM tw),
 t2 AS (SELECT as_of, ticker, count(*) AS raw_days, sum(bull) AS cum_bull, sum(bear) AS cum_bear, arg_max(marketcap, snapshot_date) AS marketcap, arg_max(sector, snapshot_date) AS sector, count(*) FILTER (tot >= greatest(100000, mean * 0.15::DOUBLE)) AS active_days,
   regr_sxx(ln(1 + tot), idx) AS sxx, regr_sxy(ln(1 + tot), idx) AS sxy, regr_syy(ln(1 + tot), idx) AS syy, count(*) FILTER (tot > 0 AND (bull - bear) / nullif(tot, 0) >= 0.1) AS bull_days, count(*) FILTER (tot > 0 AND (bull - bear) / nullif(tot, 0) <= -0.1) AS bear_days,
-  count(*) FILTER (tot > 0) AS live_days, avg(put_call_ratio) AS pcr, median(put_call_ratio) AS pcr_median, count(put_call_ratio) AS pcr_n, max(perc_3_day_total) AS perc_3d, count(*) FILTER (bucket = '31-90') AS b1, count(*) FILTER (bucket = '0-7') AS b0,
+  count(*) FILTER (tot > 0) AS live_days, avg(put_call_ratio) AS pcr, median(put_call_ratio) AS pcr_median, count(put_call_ratio) AS pcr_n, max(perc_3_day_total) AS perc_3d, avg(oi) AS oi_change, count(*) FILTER (bucket = '31-90') AS b1, count(*) FILTER (bucket = '0-7') AS b0,
   arg_min(close, snapshot_date) AS first_close, arg_max(close, snapshot_date) AS last_close FROM t1 GROUP BY 1, 2),
 t3 AS (SELECT *, cum_bull + cum_bear AS cum_total, CASE WHEN cum_bull + cum_bear > 0 AND marketcap > 0 THEN round(greatest(cum_bull, cum_bear) / marketcap * 10000, 2) ELSE 0 END AS prem_mcap_bps, sxy / nullif(sxx, 0) AS slope, syy - sxy * (sxy / nullif(sxx, 0)) AS rest FROM t2),
 t4 AS (SELECT *, CASE WHEN slope IS NULL THEN 0 WHEN rest <= 1e-10 * greatest(syy, 1e-300) OR sqrt(greatest(rest, 0) / greatest(active_days - 2, 1) / nullif(sxx, 0)) <= 1e-9 THEN CASE WHEN slope = 0 THEN 0 WHEN slope > 0 THEN 5 ELSE -5 END
@@ -59,7 +59,7 @@ t4 AS (SELECT *, CASE WHEN slope IS NULL THEN 0 WHEN rest <= 1e-10 * greatest(sy
   FROM t3 WHERE raw_days >= 2 AND cum_total >= 250000 AND marketcap >= 5e8 AND prem_mcap_bps >= 0.10 AND active_days >= 2),
 t5 AS (SELECT t4.*, total_days, round(CAST(active_days AS DOUBLE) / total_days, 2) AS persistence_ratio, CASE WHEN coalesce(pcr, 0) <= 0 THEN false WHEN pcr_n >= 10 AND pcr_median > 0 THEN CASE WHEN direction = 'BULLISH' THEN pcr / pcr_median > 1.3 ELSE pcr / pcr_median < 1 / 1.3::DOUBLE END
     ELSE CASE WHEN direction = 'BULLISH' THEN pcr > 0.9 ELSE pcr < 0.5 END END AS hedging_risk FROM t4 JOIN td USING (as_of)),
-t6 AS (SELECT *, (0.25::DOUBLE * persistence_ratio + 0.20::DOUBLE * {_log('prem_mcap_bps', '1.0::DOUBLE', '30.0::DOUBLE')} + 0.25::DOUBLE * consistency + 0.20::DOUBLE * greatest(0, least(1, (accel_t + 1) / 3)) + 0.05::DOUBLE * {_log('cum_total', '5e5', '5e7')}) * 10
+t6 AS (SELECT *, (0.25::DOUBLE * persistence_ratio + 0.20::DOUBLE * {_log('prem_mcap_bps', '1.0::DOUBLE', '30.0::DOUBLE')} + 0.25::DOUBLE * consistency + 0.20::DOUBLE * greatest(0, least(1, (accel_t + 1) / 3)) + 0.05::DOUBLE * {_log('cum_total', '5e5', '5e7')} + 0.05::DOUBLE * least(abs(coalesce(oi_change, 0)) / 50, 1)) * 10
     * CASE dominant_dte_bucket WHEN '0-7' THEN 0.9::DOUBLE WHEN '31-90' THEN 1.05::DOUBLE ELSE 1 END * CASE WHEN hedging_risk THEN 0.85::DOUBLE ELSE 1 END AS raw_score,
   100 * (0.35::DOUBLE * least(active_days / 5.0::DOUBLE, 1) + 0.30::DOUBLE * greatest(0, least(1, consistency)) + 0.25::DOUBLE * greatest(0, least(1, (accel_t + 0.5::DOUBLE) / 2.5::DOUBLE)) + 0.10::DOUBLE * greatest(0, least(1, prem_mcap_bps / 5))) AS raw_acc FROM t5),
 t7 AS (SELECT *, round(greatest(raw_score, 0), 1) AS conviction_score, round(raw_acc, 1) AS accumulation_score FROM t6),

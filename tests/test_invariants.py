@@ -193,3 +193,17 @@ def test_exponential_means_of_a_long_series_are_the_recursion(spark):
         loss = max(-d, 0) if k == 1 else loss + (max(-d, 0) - loss) / 14
         assert abs(r.ema50 - ema) < 1e-9 and abs(r.atr14 - atr) < 1e-9 and 0 <= r.adx <= 100
         assert k < 14 or abs(r.rsi14 - (100 - 100 / (1 + gain / loss))) < 1e-7
+
+
+def test_change_of_open_interest_adds_to_conviction(spark):
+    base, as_of = snaps(spark, [(3, 1)] * 5), spark.createDataFrame([(DAY + dt.timedelta(4),)], "as_of date")
+    score = lambda df: T.track(df, as_of, 7).first().conviction_score
+    none, some, most = score(base), score(base.withColumn("total_oi_change_perc", F.lit(-25.0))), score(base.withColumn("total_oi_change_perc", F.lit(400.0)))
+    assert score(base.withColumn("total_oi_change_perc", F.lit(None).cast("double"))) == none and none < some < most
+
+
+def test_history_baselines_keep_the_last_delivery(spark):
+    rows = [(" aa ", DAY, 0, 1e9, 1e6, 0.0, 2e6, 0.0, 10, 0, 5, 0), ("AA", DAY, 1, 1e9, 3e6, 0.0, 6e6, 0.0, 12, 4, 0, 8), ("LOW", DAY, 0, 1e7, 1e6, 0.0, 1e6, 0.0, 1, 1, 1, 1), ("AA", None, 0, 1e9, 1e6, 0.0, 1e6, 0.0, 1, 1, 1, 1), ("NUL", DAY, 0, None, 1e6, 0.0, 1e6, 0.0, 1, 1, 1, 1)]
+    names = "ticker string, date date, feed int, marketcap double, bullish_premium double, bearish_premium double, call_premium double, put_premium double, call_volume long, put_volume long, call_open_interest long, put_open_interest long"
+    (r,) = O.history_baselines(spark.createDataFrame(rows, names)).collect()
+    assert (r.ticker, r.bullish_flow_intensity, r.bullish_vol_oi, r.bearish_vol_oi, r.bullish_unusual_premium_share, r.bearish_unusual_premium_share) == ("AA", 0.003, None, 0.5, 0.5, None)
