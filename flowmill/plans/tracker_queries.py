@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import replay as R
 from ..operators import tracker as T
-from ..sources.fixtures import SNAPSHOTS_SQL, snapshots
+from ..sources.fixtures import FLOW_SQL, SNAPSHOTS_SQL, snapshots
 from .bar_queries import FEAT_SQL, feat
 from .registry import query
 
@@ -165,10 +165,23 @@ def agg26b(spark, d):
     return q.select("bucket", *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("p50", "p75", "p90"))])
 
 
-@query("agg21_grade_stats", f"WITH {PLAN_SQL} SELECT direction, count(*) AS n, round(avg(CASE WHEN realized_r > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_rate, round(avg(realized_r), 4) + 0 AS avg_r, round(max(realized_r), 4) + 0 AS best_r, round(min(realized_r), 4) + 0 AS worst_r FROM replay GROUP BY 1")
+GRADED_SQL = TRACK_SQL + FEAT_SQL[len(FLOW_SQL):] + """,
+nx AS (SELECT *, lead(open) OVER (PARTITION BY ticker ORDER BY date) AS entry FROM feat),
+pl0 AS (SELECT b.ticker, b.i, b.date AS as_of, b.atr14 AS atr, b.entry, CASE g.direction WHEN 'BULLISH' THEN 'LONG' ELSE 'SHORT' END AS direction, CASE g.dominant_dte_bucket WHEN '0-7' THEN 'lottery' ELSE 'position' END AS bucket FROM nx b JOIN board g ON g.ticker = b.ticker AND g.as_of = b.date),
+""" + PLAN_SQL[PLAN_SQL.index("pl AS (") :]
+
+
+@query("agg21_grade_stats", f"""WITH {GRADED_SQL}, r AS (SELECT substr(g.conviction_grade, 1, 1) AS family, realized_r FROM replay p JOIN feat b ON b.ticker = p.ticker AND b.i = p.i JOIN board g ON g.ticker = b.ticker AND g.as_of = b.date)
+SELECT family, count(realized_r) AS n, round(avg(CASE WHEN realized_r > 0 THEN 1.0::DOUBLE WHEN realized_r IS NOT NULL THEN 0 END), 3) AS hit_rate, round(avg(realized_r), 4) + 0 AS avg_r, round(max(realized_r), 4) + 0 AS best_r, round(min(realized_r), 4) + 0 AS worst_r
+FROM (SELECT unnest(['A', 'B', 'C']) AS family) LEFT JOIN r USING (family) GROUP BY 1""")
 def agg21(spark, d):
-    r = lambda f, n: (F.round(f("realized_r"), 4) + F.lit(0.0)).alias(n)
-    return replayed(spark, d).groupBy("direction").agg(F.count("*").alias("n"), F.round(F.avg((F.col("realized_r") > 0).cast("double")), 4).alias("hit_rate"), r(F.avg, "avg_r"), r(F.max, "best_r"), r(F.min, "worst_r"))
+    """Replayed outcomes of the board's rows by grade family; a family without any has a count of zero."""
+    f, g = feat(spark, d), board(spark, d).select("ticker", F.col("as_of").alias("date"), "direction", F.col("dominant_dte_bucket").alias("bucket"), F.substring("conviction_grade", 1, 1).alias("family"))
+    at = g.join(f.select("ticker", "date", "i"), ["ticker", "date"])
+    r = R.replay(R.plans_from(at.select("ticker", "i", "direction", "bucket"), f), f).select("ticker", "i", "realized_r").join(at.select("ticker", "i", "family"), ["ticker", "i"])
+    num = lambda x, n: (F.round(x("realized_r"), 4) + F.lit(0.0)).alias(n)
+    families = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in "ABC"])).alias("family"))
+    return families.join(r, "family", "left").groupBy("family").agg(F.count("realized_r").alias("n"), F.round(F.avg((F.col("realized_r") > 0).cast("double")), 3).alias("hit_rate"), num(F.avg, "avg_r"), num(F.max, "best_r"), num(F.min, "worst_r"))
 
 
 @query("agg19_performance_sets", f"""WITH {PLAN_SQL} SELECT bucket, direction, exit_reason, count(*) AS trades, round(avg(realized_r), 4) + 0 AS avg_r, round(sum(CASE WHEN realized_r > 0 THEN realized_r ELSE 0 END) / nullif(-sum(CASE WHEN realized_r < 0 THEN realized_r ELSE 0 END), 0), 4) AS profit_factor
