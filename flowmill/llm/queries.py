@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, language, mixing, near_dedup, packing, passages, pii, quality, rules, toxicity
+from . import fingerprint, language, mixing, near_dedup, neighbours, packing, passages, pii, quality, rules, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -53,6 +54,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_docs(spark, sf_dir))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_docs(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
+    "op13_neighbours": op13_neighbours,
     "pipeline": pipeline,
 }
 
