@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, mixing, near_dedup, neighbours, packing, passages, periods, pii, quality, rules, toxicity
+from . import alignment, fingerprint, language, mixing, near_dedup, neighbours, packing, passages, periods, pii, quality, rules, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -54,6 +54,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_docs(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_docs(spark, sf_dir))
+
+
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(_docs(spark, sf_dir), plant=True)
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
+    "op11_alignment": op11_alignment,
     "op12_periods": op12_periods,
     "op13_neighbours": op13_neighbours,
     "pipeline": pipeline,
