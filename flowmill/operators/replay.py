@@ -82,6 +82,25 @@ def replay(plans: DataFrame, feat: DataFrame) -> DataFrame:
     )
 
 
+#: The stop that turns a return into a multiple of the risk where nothing was replayed (fixed value).
+ASSUMED_STOP = 0.02
+
+
+def excess_returns(bars: DataFrame, index: DataFrame, horizon: int) -> DataFrame:
+    """(ticker, date, excess): the return over `horizon` bars less the benchmark's between the same dates."""
+    b = bars.select("ticker", "date", "close", F.lead(F.struct("date", "close"), horizon).over(Window.partitionBy("ticker").orderBy("date")).alias("n")).filter("n is not null")
+    x = index.select(F.col("date").alias("_xd"), F.col("close").alias("_xc"))
+    y = index.select(F.col("date").alias("_yd"), F.col("close").alias("_yc"))
+    j = b.join(x, b["date"] == x["_xd"]).join(y, F.col("n.date") == y["_yd"])
+    return j.select("ticker", "date", ((F.col("n.close") / F.col("close") - 1) - (F.col("_yc") / F.col("_xc") - 1)).alias("excess"))
+
+
+def outcome_r(rows: DataFrame) -> DataFrame:
+    """rows with r and hit: the replayed multiple, else the signed excess return over ASSUMED_STOP; rows with neither drop."""
+    r = F.coalesce("realized_r", F.col("signed_excess") / ASSUMED_STOP)
+    return rows.withColumn("r", r).filter(F.col("r").isNotNull()).withColumn("hit", F.col("r") > 0)
+
+
 def closed_trades(positions: DataFrame) -> DataFrame:
     """positions (direction, entry_price, exit_price, risk_per_share, shares, ...) with pnl_pct, pnl_dollar and r_multiple of
     each closed trade; the multiple is 0 where nothing was at risk, a null size counts as none."""

@@ -1,3 +1,3 @@
 """Named queries over the driver's tables; importing this package registers them."""
 
-from . import bar_queries, flow_queries, level_queries, panel_queries, position_queries, rule_queries, surface_queries, tracker_queries  # noqa: F401
+from . import bar_queries, flow_queries, level_queries, panel_queries, position_queries, rule_queries, setup_queries, surface_queries, tracker_queries  # noqa: F401

@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import replay as R
 from ..operators import tracker as T
-from ..sources.fixtures import FLOW_SQL, SNAPSHOTS_SQL, snapshots
+from ..sources.fixtures import FLOW_SQL, INDEX_SQL, SNAPSHOTS_SQL, bars, index_bars, snapshots
 from .bar_queries import FEAT_SQL, feat
 from .registry import query
 
 DAYS = 35
-AS_OF = ("1998-01-12", "1998-06-15", "1999-03-01", "2000-02-07")
-
-
-def _as_of(spark):
-    return spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("date") for x in AS_OF])).alias("as_of"))
 
 
 def _snaps(spark, d):
@@ -26,7 +21,9 @@ def _snaps(spark, d):
 
 
 def board(spark, d):
-    return T.track(_snaps(spark, d), _as_of(spark), DAYS)
+    """The tracker's board as of every week that has a snapshot."""
+    s = _snaps(spark, d)
+    return T.track(s, s.select(F.col("snapshot_date").alias("as_of")).distinct(), DAYS)
 
 
 def _gate_sql(g: tuple) -> str:
@@ -42,7 +39,7 @@ def _log(x: str, lo: str, hi: str) -> str:
 
 
 TRACK_SQL = SNAPSHOTS_SQL + f""",
-asofs AS (SELECT unnest([{', '.join(f"DATE '{x}'" for x in AS_OF)}]) AS as_of),
+asofs AS (SELECT DISTINCT snapshot_date AS as_of FROM snapshots),
 tw AS (SELECT as_of, ticker, snapshot_date, sector, close, marketcap, put_call_ratio, perc_3_day_total, sweep_share, iv_rank - 50 AS oi, total_bullish_premium * 100 AS bull, total_bearish_premium * 100 AS bear, CASE WHEN sweep_share > 0.5 THEN '31-90' ELSE '0-7' END AS bucket
   FROM snapshots JOIN asofs ON snapshot_date <= as_of AND snapshot_date > as_of - {DAYS}),
 td AS (SELECT as_of, count(DISTINCT snapshot_date) AS total_days FROM tw GROUP BY 1),
@@ -171,17 +168,61 @@ pl0 AS (SELECT b.ticker, b.i, b.date AS as_of, b.atr14 AS atr, b.entry, CASE g.d
 """ + PLAN_SQL[PLAN_SQL.index("pl AS (") :]
 
 
-@query("agg21_grade_stats", f"""WITH {GRADED_SQL}, r AS (SELECT substr(g.conviction_grade, 1, 1) AS family, realized_r FROM replay p JOIN feat b ON b.ticker = p.ticker AND b.i = p.i JOIN board g ON g.ticker = b.ticker AND g.as_of = b.date)
-SELECT family, count(realized_r) AS n, round(avg(CASE WHEN realized_r > 0 THEN 1.0::DOUBLE WHEN realized_r IS NOT NULL THEN 0 END), 3) AS hit_rate, round(avg(realized_r), 4) + 0 AS avg_r, round(max(realized_r), 4) + 0 AS best_r, round(min(realized_r), 4) + 0 AS worst_r
-FROM (SELECT unnest(['A', 'B', 'C']) AS family) LEFT JOIN r USING (family) GROUP BY 1""")
+# what became of the board's rows: the replayed result, and the return over five bars less the benchmark's, signed by direction
+GRADED_SQL += INDEX_SQL[INDEX_SQL.rindex(",\nindex_bars AS") :] + """,
+xb AS (SELECT date AS xd, close AS xc FROM index_bars), fb AS (SELECT ticker AS ft, date AS fd, close AS fc, lead(date, 5) OVER w AS nd, lead(close, 5) OVER w AS nc FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+ex AS (SELECT ft, fd, (nc / fc - 1) - (y.xc / x.xc - 1) AS excess FROM fb JOIN xb x ON x.xd = fd JOIN xb y ON y.xd = nd),
+graded AS (SELECT g.*, r.realized_r, CASE g.direction WHEN 'BEARISH' THEN -1 ELSE 1 END * ex.excess AS signed_excess, substr(g.conviction_grade, 1, 1) AS family FROM board g LEFT JOIN (SELECT b.ticker, b.date, p.realized_r FROM replay p JOIN feat b ON b.ticker = p.ticker AND b.i = p.i) r ON r.ticker = g.ticker AND r.date = g.as_of LEFT JOIN ex ON ft = g.ticker AND fd = g.as_of),
+outcome AS (SELECT *, coalesce(realized_r, signed_excess / 0.02::DOUBLE) AS r, coalesce(realized_r > 0, signed_excess > 0) AS hit FROM graded WHERE realized_r IS NOT NULL OR signed_excess IS NOT NULL)"""
+
+
+def graded(spark, d):
+    """The board's rows with what became of them: realized_r of the replayed plan (null without one) and signed_excess."""
+    f, b = feat(spark, d), board(spark, d)
+    at = b.select("ticker", F.col("as_of").alias("date"), "direction", F.col("dominant_dte_bucket").alias("bucket")).join(f.select("ticker", "date", "i"), ["ticker", "date"])
+    r = R.replay(R.plans_from(at.drop("date"), f), f).select("ticker", "i", "realized_r").join(at.select("ticker", "i", F.col("date").alias("as_of")), ["ticker", "i"]).drop("i")
+    x = R.excess_returns(bars(spark, d), index_bars(spark, d), 5).withColumnRenamed("date", "as_of")
+    sign = F.when(F.col("direction") == "BEARISH", -1.0).otherwise(1.0)
+    out = b.join(r, ["ticker", "as_of"], "left").join(x, ["ticker", "as_of"], "left")
+    return out.withColumn("signed_excess", sign * F.col("excess")).drop("excess").withColumn("family", F.substring("conviction_grade", 1, 1))
+
+
+def outcomes(spark, d):
+    return R.outcome_r(graded(spark, d))
+
+
+_STATS_SQL = "count(r) AS n, round(avg(CASE WHEN hit THEN 1.0::DOUBLE WHEN NOT hit THEN 0 END), 3) AS hit_rate, round(avg(r), 4) + 0 AS avg_r, round(max(r), 4) + 0 AS best_r, round(min(r), 4) + 0 AS worst_r"
+
+
+def _stats():
+    num = lambda x, n: (F.round(x("r"), 4) + F.lit(0.0)).alias(n)
+    return [F.count("r").alias("n"), F.round(F.avg(F.col("hit").cast("double")), 3).alias("hit_rate"), num(F.avg, "avg_r"), num(F.max, "best_r"), num(F.min, "worst_r")]
+
+
+@query("agg21_grade_stats", f"WITH {GRADED_SQL} SELECT family, {_STATS_SQL} FROM (SELECT unnest(['A', 'B', 'C']) AS family) LEFT JOIN outcome USING (family) GROUP BY 1")
 def agg21(spark, d):
-    """Replayed outcomes of the board's rows by grade family; a family without any has a count of zero."""
-    f, g = feat(spark, d), board(spark, d).select("ticker", F.col("as_of").alias("date"), "direction", F.col("dominant_dte_bucket").alias("bucket"), F.substring("conviction_grade", 1, 1).alias("family"))
-    at = g.join(f.select("ticker", "date", "i"), ["ticker", "date"])
-    r = R.replay(R.plans_from(at.select("ticker", "i", "direction", "bucket"), f), f).select("ticker", "i", "realized_r").join(at.select("ticker", "i", "family"), ["ticker", "i"])
-    num = lambda x, n: (F.round(x("realized_r"), 4) + F.lit(0.0)).alias(n)
+    """Outcomes of the board's rows by grade family, replayed ones before excess returns over an assumed stop of two percent; a
+    family without any has a count of zero."""
     families = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in "ABC"])).alias("family"))
-    return families.join(r, "family", "left").groupBy("family").agg(F.count("realized_r").alias("n"), F.round(F.avg((F.col("realized_r") > 0).cast("double")), 3).alias("hit_rate"), num(F.avg, "avg_r"), num(F.max, "best_r"), num(F.min, "worst_r"))
+    return families.join(outcomes(spark, d).select("family", "r", "hit"), "family", "left").groupBy("family").agg(*_stats())
+
+
+@query("sta20_grade_stats_as_of", f"WITH {GRADED_SQL} SELECT as_of, family, {_STATS_SQL} FROM outcome GROUP BY 1, 2")
+def sta20_stats(spark, d):
+    """The same as of each past week."""
+    return outcomes(spark, d).groupBy("as_of", "family").agg(*_stats())
+
+
+@query("sta23_monotone_outcomes", f"""WITH {GRADED_SQL}, g AS (SELECT conviction_grade, min(grade_rank) AS k, count(*) AS n, avg(r) AS m FROM outcome GROUP BY 1),
+s AS (SELECT *, m >= coalesce(lag(m) OVER (ORDER BY k), m) AS rises FROM g) SELECT conviction_grade, n, round(m, 4) + 0 AS avg_r, rises, bool_and(rises) OVER () AS monotone FROM s""")
+def sta23_outcomes(spark, d):
+    """Whether better grades earned more, grade by grade and as a whole (at most seven rows)."""
+    rank = F.lit(0)
+    for g, r in T.GRADE_RANK.items():
+        rank = F.when(F.col("conviction_grade") == g, r).otherwise(rank)
+    g = outcomes(spark, d).groupBy("conviction_grade").agg(F.count("*").alias("n"), F.avg("r").alias("m")).withColumn("k", rank)
+    s = g.withColumn("rises", F.col("m") >= F.coalesce(F.lag("m").over(Window.orderBy("k")), F.col("m")))
+    return s.select("conviction_grade", "n", (F.round("m", 4) + F.lit(0.0)).alias("avg_r"), "rises", F.bool_and("rises").over(Window.partitionBy()).alias("monotone"))
 
 
 @query("agg19_performance_sets", f"""WITH {PLAN_SQL} SELECT bucket, direction, exit_reason, count(*) AS trades, round(avg(realized_r), 4) + 0 AS avg_r, round(sum(CASE WHEN realized_r > 0 THEN realized_r ELSE 0 END) / nullif(-sum(CASE WHEN realized_r < 0 THEN realized_r ELSE 0 END), 0), 4) AS profit_factor
