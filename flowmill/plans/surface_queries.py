@@ -11,6 +11,7 @@ from ..operators import prints as D
 from ..operators import stats as S
 from ..sources.fixtures import BARS_SQL, FLOW_SQL, PRINTS_SQL, SNAPSHOTS_SQL, bars, prints, snapshots, table
 from .flow_queries import OCC_SQL, flow
+from ..sources.shared import settled
 from .registry import query
 
 # ---- prints ------------------------------------------------------------------------------------
@@ -243,14 +244,31 @@ RANK_SQL = """, known AS (SELECT * FROM lg WHERE value IS NOT NULL AND fwd IS NO
 rk AS (SELECT {k}, rank() OVER (PARTITION BY {k} ORDER BY value) + (count(*) OVER (PARTITION BY {k}, value) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY {k} ORDER BY fwd) + (count(*) OVER (PARTITION BY {k}, fwd) - 1) / 2.0::DOUBLE AS ry FROM known)"""
 
 
-@query("sta7_spearman_by_ticker", f"WITH {FWD_SQL}{RANK_SQL.format(k='feature, ticker')} SELECT feature, ticker, round(corr(rx, ry), 6) + 0 AS spearman, count(*) AS n FROM rk GROUP BY 1, 2")
+def erfc_sql(x: str) -> str:
+    t = f"(1 / (1 + 0.5::DOUBLE * {x}))"
+    poly = f"{S.ERFC[-1]}::DOUBLE"
+    for c in S.ERFC[-2::-1]:
+        poly = f"({c}::DOUBLE + {t} * {poly})"
+    return f"({t} * exp(-({x}) * ({x}) + {poly}))"
+
+
+_P_SQL = "SELECT {k}, round(c, 6) + 0 AS spearman, n, round(CASE WHEN n >= 3 AND NOT isnan(c) THEN " + erfc_sql("(abs(c) * sqrt(n - 1) / sqrt(2.0::DOUBLE))") + " END, 6) AS p FROM (SELECT {k}, corr(rx, ry) AS c, count(*) AS n FROM rk GROUP BY ALL)"
+
+
+def _with_p(df, *keys):
+    return df.select(*keys, (F.round("spearman", 6) + F.lit(0.0)).alias("spearman"), "n", F.round(S.rank_p_value(F.col("spearman"), F.col("n")), 6).alias("p"))
+
+
+@query("sta7_spearman_by_ticker", f"WITH {FWD_SQL}{RANK_SQL.format(k='feature, ticker')} {_P_SQL.format(k="feature, ticker")}")
 def sta7(spark, d):
-    return S.spearman(_panel(spark, d), ["feature", "ticker"], "value", "fwd").select("feature", "ticker", (F.round("spearman", 6) + F.lit(0.0)).alias("spearman"), "n")
+    return _with_p(S.spearman(_panel(spark, d), ["feature", "ticker"], "value", "fwd"), "feature", "ticker")
 
 
-@query("sta8_attribution", f"WITH {FWD_SQL}{RANK_SQL.format(k='feature')} SELECT feature, round(corr(rx, ry), 6) + 0 AS spearman, count(*) AS n FROM rk GROUP BY 1")
+@query("sta8_attribution", f"WITH {FWD_SQL}{RANK_SQL.format(k='feature')} {_P_SQL.format(k="feature")}")
 def sta8(spark, d):
-    return S.spearman(_panel(spark, d), ["feature"], "value", "fwd").select("feature", (F.round("spearman", 6) + F.lit(0.0)).alias("spearman"), "n")
+    """Every feature over the whole panel; its ranks are counted in parts, not in one task a feature."""
+    panel = settled(_panel(spark, d).filter("value is not null and fwd is not null").select("feature", "value", "fwd"))
+    return _with_p(S.split_spearman(panel, ["feature"], "value", "fwd"), "feature")
 
 
 @query("sta9_walk_forward", f"""WITH {FWD_SQL}, k0 AS (SELECT *, row_number() OVER (PARTITION BY feature, ticker ORDER BY date) AS r, count(*) OVER (PARTITION BY feature, ticker) AS c FROM lg WHERE value IS NOT NULL AND fwd IS NOT NULL),

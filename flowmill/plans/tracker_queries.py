@@ -65,9 +65,9 @@ t8 AS (SELECT *, CASE WHEN conviction_score >= 8.5 THEN 'A+' WHEN conviction_sco
 board AS (SELECT *, {', '.join(f'{_gate_sql(g)} AS passes_{m}' for m, g in T.GATES['5d'].items())} FROM t8)"""
 
 
-@query("agg8_flow_tracker", f"WITH {TRACK_SQL} SELECT as_of, ticker, direction, active_days, round(cum_total, 2) AS cum_total, prem_mcap_bps, round(accel_t, 4) AS accel_t, round(consistency, 6) AS consistency, persistence_ratio, hedging_risk, dominant_dte_bucket, window_return_pct, conviction_score, conviction_grade FROM board")
+@query("agg8_flow_tracker", f"WITH {TRACK_SQL} SELECT as_of, ticker, direction, active_days, round(cum_total, 2) AS cum_total, prem_mcap_bps, round(greatest(-20, least(20, accel_t)), 3) + 0 AS accel_t, round(consistency, 6) AS consistency, persistence_ratio, hedging_risk, dominant_dte_bucket, window_return_pct, conviction_score, conviction_grade FROM board")
 def agg8(spark, d):
-    return board(spark, d).select("as_of", "ticker", "direction", "active_days", F.round("cum_total", 2).alias("cum_total"), "prem_mcap_bps", F.round("accel_t", 4).alias("accel_t"), F.round("consistency", 6).alias("consistency"), "persistence_ratio", "hedging_risk", "dominant_dte_bucket", "window_return_pct", "conviction_score", "conviction_grade")
+    return board(spark, d).select("as_of", "ticker", "direction", "active_days", F.round("cum_total", 2).alias("cum_total"), "prem_mcap_bps", (F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("accel_t"))), 3) + F.lit(0.0)).alias("accel_t"), F.round("consistency", 6).alias("consistency"), "persistence_ratio", "hedging_risk", "dominant_dte_bucket", "window_return_pct", "conviction_score", "conviction_grade")
 
 
 @query("agg9_day_persistence", f"WITH {TRACK_SQL} SELECT as_of, ticker, bull_days, bear_days, day_persistence, has_flips FROM board")
