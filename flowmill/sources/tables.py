@@ -36,14 +36,20 @@ def normalize_flow(raw: DataFrame) -> DataFrame:
     )
 
 
-def stamped(df: DataFrame, pattern: str, fmt: str = "yyyyMMdd_HHmmss") -> DataFrame:
-    """df, read from files, with the time in each file's name as scan_ts; files without one have null."""
-    stamp = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
+def stamped(df: DataFrame, pattern: str, fmt: str = "yyyyMMdd_HHmmss", folders: bool = False) -> DataFrame:
+    """df, read from files, with the time in each file's name as scan_ts (in its whole path with `folders`, for scans that are
+    folders of part files); files without one have null."""
+    stamp = F.regexp_extract(F.col("_metadata.file_path" if folders else "_metadata.file_name"), pattern, 1)
     return df.select("*", F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit(fmt)).alias("scan_ts")).withColumn("scan_date", F.to_date("scan_ts"))
 
 
-def latest_file_per_day(df: DataFrame) -> DataFrame:
-    """Rows of each day's last scan: the last stamp of a day is an aggregate of few rows, joined back."""
+def latest_file_per_day(df: DataFrame, as_of: Column | None = None, lookback_days: int | None = None) -> DataFrame:
+    """Rows of each day's last scan: the last stamp of a day is an aggregate of few rows, joined back. With `as_of` days after
+    it are invisible, with `lookback_days` too those further back."""
+    if as_of is not None:
+        df = df.filter(F.col("scan_date") <= as_of)
+        if lookback_days is not None:
+            df = df.filter(F.col("scan_date") > F.date_sub(as_of, lookback_days))
     last = df.groupBy("scan_date").agg(F.max("scan_ts").alias("scan_ts"))
     return df.join(last, ["scan_date", "scan_ts"], "left_semi")
 
@@ -54,6 +60,31 @@ def to_schema(df: DataFrame, target: dict[str, str], **given: Column) -> DataFra
     return df.select(*[at(c, t) for c, t in target.items()])
 
 
+#: Labels of which enrichment's own value, if not blank, beats the base row's (fixed values).
+ENRICHED = ("dominant_dte_bucket", "sweep_share", "multileg_share")
+
+
+def snapshot_projection(rows: DataFrame, target: dict[str, str], prefix: str = "e_") -> DataFrame:
+    """rows projected to the snapshot schema: premiums rounded to cents and 0 where missing, unusual premiums that are missing or 0
+    replaced by the swing ones, enrichment columns (`prefix` + name) before the base's, null where nothing is known."""
+    have = set(rows.columns)
+    cents = lambda c: F.round(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)), 2) if c in have else F.lit(0.0)
+    given = {c: cents(c) for c in target if c.endswith("_premium") and c != "net_premium"}
+    for side in ("bullish", "bearish"):
+        if f"unusual_{side}_premium" in target:
+            given[f"unusual_{side}_premium"] = F.coalesce(F.nullif(cents(f"unusual_{side}_premium"), F.lit(0.0)), cents(f"swing_{side}_premium"))
+    for c in ENRICHED:
+        sources = [F.col(x) for x in (prefix + c, c) if x in have]
+        if c in target and sources:
+            given[c] = F.coalesce(*[F.when(F.trim(x.cast("string")) != "", x) for x in sources])
+    return to_schema(rows, target, **given)
+
+
+def graded_rows(df: DataFrame, grade: str = "conviction_grade", bucket: str = "dominant_dte_bucket") -> DataFrame:
+    """What a grade history keeps: rows with a grade, a blank bucket as 'unknown'."""
+    return df.filter(F.trim(F.col(grade)) != "").withColumn(bucket, F.coalesce(F.nullif(F.trim(F.col(bucket)), F.lit("")), F.lit("unknown")))
+
+
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Overwrite exactly the partitions that df holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
