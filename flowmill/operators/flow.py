@@ -62,6 +62,33 @@ def aggregate_by_ticker(events: DataFrame) -> DataFrame:
     return a.withColumns(cols)
 
 
+def weighted_by_key(events: DataFrame, now: Column, keys: list[str]) -> DataFrame:
+    """Per key and side: premium decayed to `now` beside the raw one (both times the direction's confidence), intensity of the raw
+    premium over market cap, decayed premium times the delta's magnitude with its intensity, the premium-weighted mean magnitude,
+    and the share of the side's decayed premium whose delta came from a vendor.
+
+    events: keys, premium, event_ts, direction, direction_confidence, marketcap, delta_magnitude, delta_source (see
+    functions.flow.delta_choice). One aggregate with partial sums; unknown premiums and deltas count as 0."""
+    raw, mag = F.coalesce("premium", F.lit(0.0)), F.coalesce("delta_magnitude", F.lit(0.0))
+    e = events.withColumn("_p", raw * F.coalesce(X.recency_weight(now), F.lit(1.0)))
+    conf = F.coalesce("direction_confidence", F.lit(0.0))
+    aggs = [F.max("marketcap").alias("marketcap")]
+    for side, way in SIDES:
+        on = lambda x, way=way: F.coalesce(F.sum(F.when(F.col("direction") == way, x)), F.lit(0.0))
+        aggs += [
+            on(F.col("_p") * conf).alias(f"{side}_premium"), on(raw * conf).alias(f"{side}_premium_raw"), on(F.col("_p") * mag * conf).alias(f"{side}_delta_premium"), on(F.col("_p") * mag).alias(f"_{side}_num"),
+            on(F.col("_p")).alias(f"_{side}_den"), on(F.when(F.col("delta_source") == "vendor", F.col("_p")).otherwise(0.0)).alias(f"_{side}_vendor"),
+        ]
+    a, cap = e.groupBy(*keys).agg(*aggs), X.mcap_or_null(F.col("marketcap"))
+    cols: dict[str, Column] = {}
+    for side, _ in SIDES:
+        cols[f"{side}_flow_intensity"] = F.coalesce(F.col(f"{side}_premium_raw") / cap, F.lit(0.0))
+        cols[f"{side}_delta_intensity"] = F.coalesce(F.col(f"{side}_delta_premium") / cap, F.lit(0.0))
+        cols[f"{side}_avg_delta"] = _ratio(f"_{side}_num", f"_{side}_den")
+        cols[f"{side}_delta_source_mix"] = _ratio(f"_{side}_vendor", f"_{side}_den")
+    return a.withColumns(cols).drop(*[f"_{s}_{k}" for s, _ in SIDES for k in ("num", "den", "vendor")])
+
+
 def with_scores(agg: DataFrame) -> DataFrame:
     """Seven weighted components per side, their 0-10 contributions, and the sum."""
     cols: dict[str, Column] = {}

@@ -111,3 +111,20 @@ def closed_trades(positions: DataFrame) -> DataFrame:
         "pnl_dollar": plain(gain * F.coalesce("shares", F.lit(0)), 2),
         "r_multiple": plain(F.when(F.col("risk_per_share") > 0, F.try_divide(gain, F.col("risk_per_share"))).otherwise(0.0), 2),
     })
+
+
+def score_band(score):
+    """Bands of a final score (fixed values)."""
+    return F.when(score < 7, "<7").when(score < 8, "7-8").when(score < 9, "8-9").otherwise("9-10")
+
+
+def performance(trades: DataFrame, dimensions: dict) -> DataFrame:
+    """(dimension, level, trades, win_rate, avg_r, total_pnl, profit_factor) of closed trades under every dimension at once: each trade
+    is put under all its levels, and partial sums leave the map side. Rates in percent; no profit factor without a loss."""
+    tags = F.array(*[F.struct(F.lit(k).alias("dimension"), v.cast("string").alias("level")) for k, v in dimensions.items()])
+    pnl = F.col("pnl_dollar")
+    long_ = trades.select("pnl_dollar", "r_multiple", F.inline(tags))
+    lost = -F.sum(F.when(pnl <= 0, pnl))
+    return long_.groupBy("dimension", "level").agg(
+        F.count("*").alias("trades"), F.avg(F.when(pnl > 0, 100.0).otherwise(0.0)).alias("win_rate"), F.avg("r_multiple").alias("avg_r"), F.sum("pnl_dollar").alias("total_pnl"), F.try_divide(F.sum(F.when(pnl > 0, pnl)), F.nullif(lost, F.lit(0.0))).alias("profit_factor"),
+    )

@@ -132,3 +132,22 @@ def with_sector_peers(board: DataFrame, gate: str = "passes_all") -> DataFrame:
     """The number of other rows of the board that pass the gate in the same sector and direction."""
     w = Window.partitionBy("as_of", "sector", "direction")
     return board.withColumn("sector_peers", F.count_if(F.col(gate)).over(w) - F.col(gate).cast("int"))
+
+
+# Fixed values of the print convergence.
+PRINT_BULL, PRINT_BEAR, PRINT_BONUS, PRINT_BPS = 0.55, 0.45, 0.30, 3.0
+
+
+def with_print_convergence(board: DataFrame, prints: DataFrame, keys: list[str]) -> DataFrame:
+    """board with dp_aligned and dp_divergent (the prints' bias leans with or against the row), dp_bonus, and score and grade with
+    the bonus. prints: keys, dp_bias, dp_bps (notional over market cap). Without prints a row is neither. The bonus grows with
+    notional up to 20 basis points and with the bias up to 0.3 from even."""
+    b = board.join(prints.select(*keys, "dp_bias", "dp_bps"), keys, "left")
+    bull, bias = F.col("direction") == "BULLISH", F.col("dp_bias")
+    high, low, no = bias >= PRINT_BULL, bias <= PRINT_BEAR, F.lit(False)
+    b = b.withColumns({"dp_aligned": F.coalesce(F.when(bull, high).otherwise(low), no), "dp_divergent": F.coalesce(F.when(bull, low).otherwise(high), no)})
+    strength = F.least(F.col("dp_bps") / 20.0, F.lit(1.0)) * F.least(F.abs(bias - 0.5) / 0.30, F.lit(1.0))
+    b = b.withColumn("dp_bonus", F.when(F.col("dp_aligned") & (F.col("dp_bps") >= PRINT_BPS), PRINT_BONUS * strength).otherwise(0.0))
+    raised = F.round(F.col("conviction_score") * (1.0 + F.col("dp_bonus")) + 1e-7, 1)
+    b = b.withColumn("conviction_score", F.when(F.col("dp_bonus") > 0, raised).otherwise(F.col("conviction_score")))
+    return b.withColumn("conviction_grade", grade(F.col("conviction_score")))

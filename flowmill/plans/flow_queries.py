@@ -168,6 +168,29 @@ def agg1(spark, d):
     return aggregated(spark, d).select(*WHOLE, *[F.round(F.col(c) + 1e-8, 4).alias(c) for c in ROUNDED])
 
 
+def _weighted_sql(side: str, way: str) -> str:
+    on = f"FILTER (direction = '{way}')"
+    return f"""coalesce(sum(p * direction_confidence) {on}, 0) AS {side}_premium, coalesce(sum(premium * direction_confidence) {on}, 0) AS {side}_premium_raw, coalesce(sum(p * mag * direction_confidence) {on}, 0) AS {side}_delta_premium,
+  coalesce(sum(premium * direction_confidence) {on}, 0) / max(cap) AS {side}_flow_intensity, coalesce(sum(p * mag * direction_confidence) {on}, 0) / max(cap) AS {side}_delta_intensity, coalesce(sum(p * mag) {on} / nullif(sum(p) {on}, 0), 0) AS {side}_avg_delta,
+  coalesce(sum(CASE WHEN vendor IS NOT NULL THEN p ELSE 0 END) {on} / nullif(sum(p) {on}, 0), 0) AS {side}_delta_source_mix"""
+
+
+_WEIGHTED = {f"{s}_{c}": k for s in ("bullish", "bearish") for c, k in (("premium", 2), ("premium_raw", 2), ("delta_premium", 2), ("flow_intensity", 9), ("delta_intensity", 9), ("avg_delta", 5), ("delta_source_mix", 5))}
+
+
+@query("agg1_decayed_delta_flow", f"""WITH {FLOW_SQL}{DELTA_SQL}, c AS (SELECT *, {OCC_SQL} AS id FROM delta), g AS (SELECT id, max(l_partkey % 90 + 5) / 100.0::DOUBLE AS vendor FROM c WHERE l_orderkey % 3 = 0 GROUP BY 1),
+m AS (SELECT *, least(abs(coalesce(vendor, delta_proxy)), 1.0::DOUBLE) AS mag, premium * exp(-ln(2::DOUBLE) * greatest(epoch(event_date + INTERVAL 16 HOUR - event_ts) / 3600.0::DOUBLE, 0) / 6.0::DOUBLE) AS p, CASE WHEN marketcap >= 1e8 THEN marketcap END AS cap FROM c LEFT JOIN g USING (id)),
+w AS (SELECT ticker, event_date, {_weighted_sql("bullish", "LONG")}, {_weighted_sql("bearish", "SHORT")} FROM m GROUP BY 1, 2)
+SELECT ticker, event_date, {', '.join(f'round(coalesce({c}, 0) + {1e-6 if k == 2 else 0:.6f}, {k}) + 0 AS {c}' for c, k in _WEIGHTED.items())} FROM w""")
+def agg1_weighted(spark, d):
+    """The day's flow of each ticker, decayed to its close."""
+    f = flow(spark, d).withColumn("id", X.occ_id(F.col("ticker"), F.col("expiration_date"), F.col("option_type"), F.col("strike")))
+    greeks = f.filter("l_orderkey % 3 = 0").groupBy("id").agg((F.max(F.col("l_partkey") % 90 + 5) / 100.0).alias("vendor"))
+    e = X.delta_choice(f.join(greeks, "id", "left"), F.col("vendor"))
+    a = O.weighted_by_key(e, F.timestamp_add("HOUR", F.lit(16), F.col("event_date").cast("timestamp")), ["ticker", "event_date"])
+    return a.select("ticker", "event_date", *[(F.round(F.col(c) + (1e-6 if k == 2 else 0.0), k) + F.lit(0.0)).alias(c) for c, k in _WEIGHTED.items()])
+
+
 @query("prj13_weighted_score", f"WITH {AGG_SQL} SELECT ticker, round(bullish_score, 6) AS bullish_score, round(bearish_score, 6) AS bearish_score, round(0.12::DOUBLE * {_clip('bullish_sweep_count', '0.0::DOUBLE', '8.0::DOUBLE')} * 10, 6) AS bullish_sweep_contrib FROM agg")
 def prj13(spark, d):
     return aggregated(spark, d).select("ticker", *[F.round(c, 6).alias(c) for c in ("bullish_score", "bearish_score", "bullish_sweep_contrib")])

@@ -174,13 +174,17 @@ def win35(spark, d):
 # ---- robust statistics -------------------------------------------------------------------------
 
 HIST_SQL = SNAPSHOTS_SQL + """,
-hist AS (SELECT ticker, sector, snapshot_date, total_bullish_premium / marketcap * 10000 AS v FROM snapshots WHERE snapshot_date < DATE '1998-01-05'),
-today AS (SELECT ticker, sector, snapshot_date, total_bullish_premium / marketcap * 10000 AS v FROM snapshots WHERE snapshot_date = DATE '1998-01-05')"""
+days AS (SELECT snapshot_date AS day, count(*) AS n FROM snapshots GROUP BY 1), newest AS (SELECT max(day) AS day FROM days WHERE n >= 0.25::DOUBLE * (SELECT max(n) FROM days)),
+hist AS (SELECT ticker, sector, snapshot_date, total_bullish_premium / marketcap * 10000 AS v FROM snapshots, newest WHERE snapshot_date < day),
+today AS (SELECT ticker, sector, snapshot_date, total_bullish_premium / marketcap * 10000 AS v FROM snapshots, newest WHERE snapshot_date = day)"""
 
 
 def _history(spark, d):
+    """Before and on the newest week that has at least a quarter of the fullest week's tickers."""
     s = snapshots(spark, d).withColumn("v", F.col("total_bullish_premium") / F.col("marketcap") * 10000).select("ticker", "sector", "snapshot_date", "v")
-    day = F.lit("1998-01-05").cast("date")
+    days = s.groupBy("snapshot_date").count()
+    most = days.agg(F.max("count").alias("_most"))  # one row
+    day = F.lit(days.crossJoin(F.broadcast(most)).filter(F.col("count") >= 0.25 * F.col("_most")).agg(F.max("snapshot_date")).first()[0])
     return s.filter(F.col("snapshot_date") < day), s.filter(F.col("snapshot_date") == day)
 
 

@@ -106,9 +106,9 @@ def sta18(spark, d):
     return g.groupBy("days", "bps", "as_of").agg(F.count_if((F.col("active_days") >= F.col("days")) & (F.col("prem_mcap_bps") >= F.col("bps")) & ~F.col("has_flips")).alias("passes"))
 
 
-@query("sta20_grades_as_of", f"WITH {TRACK_SQL} SELECT as_of, conviction_grade, count(*) AS n, round(avg(conviction_score), 4) AS mean_score FROM board GROUP BY 1, 2")
+@query("sta20_grades_as_of", f"WITH {TRACK_SQL} SELECT as_of, conviction_grade, count(*) AS n, round(avg(conviction_score) + 0.00000001, 4) AS mean_score FROM board GROUP BY 1, 2")
 def sta20(spark, d):
-    return board(spark, d).groupBy("as_of", "conviction_grade").agg(F.count("*").alias("n"), F.round(F.avg("conviction_score"), 4).alias("mean_score"))
+    return board(spark, d).groupBy("as_of", "conviction_grade").agg(F.count("*").alias("n"), F.round(F.avg("conviction_score") + 1e-8, 4).alias("mean_score"))
 
 
 # ---- replay ------------------------------------------------------------------------------------
@@ -225,6 +225,59 @@ def sta23_outcomes(spark, d):
     return s.select("conviction_grade", "n", (F.round("m", 4) + F.lit(0.0)).alias("avg_r"), "rises", F.bool_and("rises").over(Window.partitionBy()).alias("monotone"))
 
 
+GRADE_REPLAY_SQL = GRADED_SQL + """,
+gr AS (SELECT r.*, substr(g.conviction_grade, 1, 1) AS family FROM replay r JOIN feat b ON b.ticker = r.ticker AND b.i = r.i JOIN board g ON g.ticker = b.ticker AND g.as_of = b.date)"""
+_PATHS = ("hit_0_5r_within_3d", "hit_1r_within_5d", "hit_2r_within_5d", "hit_3r_within_10d")
+_EXITS = ("T2", "T1_then_stop", "stop", "time_stop", "no_exit_yet")
+
+
+def graded_replays(spark, d):
+    """Replayed plans of the board's rows with their grade family."""
+    f, b = feat(spark, d), board(spark, d)
+    at = b.select("ticker", F.col("as_of").alias("date"), "direction", F.col("dominant_dte_bucket").alias("bucket"), F.substring("conviction_grade", 1, 1).alias("family")).join(f.select("ticker", "date", "i"), ["ticker", "date"])
+    return R.replay(R.plans_from(at.select("ticker", "i", "direction", "bucket"), f), f).join(at.select("ticker", "i", "family"), ["ticker", "i"])
+
+
+@query("agg26_grade_report", f"""WITH {GRADE_REPLAY_SQL} SELECT family, bucket, count(*) AS n, round(avg(CASE WHEN realized_r > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_rate, round(avg(realized_r), 4) + 0 AS mean_r, round(median(realized_r), 4) + 0 AS median_r, {', '.join(f"count(*) FILTER (exit_reason = '{x}') AS exit_{x.lower()}" for x in _EXITS)},
+  {', '.join(f'round(avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0 END), 4) AS {c}' for c in _PATHS)}, round(CAST(count(*) FILTER (hit_1r_within_5d AND hit_2r_within_5d) AS DOUBLE) / nullif(count(*) FILTER (hit_1r_within_5d), 0), 4) AS p_2r_given_1r FROM gr GROUP BY CUBE (family, bucket)""")
+def agg26_grades(spark, d):
+    """Exit mix, results and path rates by grade, by bucket, by both and of all, in one cube."""
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 4).alias(c)
+    both = F.count_if(F.col("hit_1r_within_5d") & F.col("hit_2r_within_5d")).cast("double")
+    return graded_replays(spark, d).cube("family", "bucket").agg(
+        F.count("*").alias("n"), F.round(F.avg((F.col("realized_r") > 0).cast("double")), 4).alias("hit_rate"), (F.round(F.avg("realized_r"), 4) + F.lit(0.0)).alias("mean_r"), (F.round(F.median("realized_r"), 4) + F.lit(0.0)).alias("median_r"),
+        *[F.count_if(F.col("exit_reason") == x).alias(f"exit_{x.lower()}") for x in _EXITS], *[rate(c) for c in _PATHS], F.round(F.try_divide(both, F.nullif(F.count_if("hit_1r_within_5d"), F.lit(0))), 4).alias("p_2r_given_1r"),
+    )
+
+
+_DIMS = {"direction": "direction", "exit_reason": "exit_reason", "symbol": "ticker", "pattern": "bucket", "score": "CASE WHEN sc < 7 THEN '<7' WHEN sc < 8 THEN '7-8' WHEN sc < 9 THEN '8-9' ELSE '9-10' END", "day": "strftime(as_of, '%Y-%m-%d')", "all": "'all'"}
+
+
+@query("agg19_performance", f"""WITH {PLAN_SQL}, c AS (SELECT *, 5 + (i % 11) * 0.5::DOUBLE AS sc, round((x - en) * floor(10000 / (s * en)), 2) AS pnl, round((x - en) / atr, 2) AS rm, feat_date AS as_of FROM (SELECT replay.*, feat.date AS feat_date FROM replay JOIN feat USING (ticker, i)))
+{' UNION ALL '.join(f"SELECT '{k}' AS dimension, {v} AS level, count(*) AS trades, round(avg(CASE WHEN pnl > 0 THEN 100.0::DOUBLE ELSE 0 END), 1) AS win_rate, round(avg(rm) + 0.0000001, 2) + 0 AS avg_r, round(sum(pnl), 2) + 0 AS total_pnl, round(sum(CASE WHEN pnl > 0 THEN pnl END) / nullif(-sum(CASE WHEN pnl <= 0 THEN pnl END), 0), 4) AS profit_factor FROM c GROUP BY 2" for k, v in _DIMS.items())}""")
+def agg19_dimensions(spark, d):
+    """Closed trades of ten thousand each by direction, exit, symbol, bucket, score band and day, and all together."""
+    r = replayed(spark, d)
+    p = r.select("ticker", "i", "as_of", "direction", "bucket", F.col("entry").alias("entry_price"), "exit_price", F.abs(F.col("entry") - F.col("stop")).alias("risk_per_share"), "days_held", "exit_reason")
+    p = p.withColumns({"shares": F.floor(10000 / F.col("entry_price")), "final_score": 5 + F.col("i") % 11 * 0.5})
+    s = R.performance(R.closed_trades(p), {"direction": F.col("direction"), "exit_reason": F.col("exit_reason"), "symbol": F.col("ticker"), "pattern": F.col("bucket"), "score": R.score_band(F.col("final_score")), "day": F.date_format("as_of", "yyyy-MM-dd"), "all": F.lit("all")})
+    return s.select("dimension", "level", "trades", F.round("win_rate", 1).alias("win_rate"), (F.round(F.col("avg_r") + 1e-7, 2) + F.lit(0.0)).alias("avg_r"), (F.round("total_pnl", 2) + F.lit(0.0)).alias("total_pnl"), F.round("profit_factor", 4).alias("profit_factor"))
+
+
+_DP_SQL = """dp AS (SELECT ticker, CASE WHEN active_days % 4 <> 3 THEN (raw_days * 7 + active_days * 3) % 10 / 10.0::DOUBLE + 0.05::DOUBLE END AS bias, CAST(floor(cum_total + 0.5::DOUBLE) % 23 AS DOUBLE) AS bps, as_of FROM board)"""
+
+
+@query("jon2_convergence_bonus", f"""WITH {TRACK_SQL}, {_DP_SQL}, j AS (SELECT b.as_of, b.ticker, b.direction, b.conviction_score AS old, bias, bps, coalesce(CASE direction WHEN 'BULLISH' THEN bias >= 0.55 ELSE bias <= 0.45 END, false) AS dp_aligned, coalesce(CASE direction WHEN 'BULLISH' THEN bias <= 0.45 ELSE bias >= 0.55 END, false) AS dp_divergent FROM board b LEFT JOIN dp ON dp.ticker = b.ticker AND dp.as_of = b.as_of),
+k AS (SELECT *, CASE WHEN dp_aligned AND bps >= 3 THEN 0.3::DOUBLE * least(bps / 20, 1) * least(abs(bias - 0.5::DOUBLE) / 0.3::DOUBLE, 1) ELSE 0 END AS bonus FROM j), m AS (SELECT *, CASE WHEN bonus > 0 THEN round(old * (1 + bonus) + 0.0000001, 1) ELSE old END AS score FROM k)
+SELECT as_of, ticker, direction, dp_aligned, dp_divergent, round(bonus + 0.0000001, 3) AS dp_bonus, score AS conviction_score, CASE WHEN score >= 8.5 THEN 'A+' WHEN score >= 7.5 THEN 'A' WHEN score >= 6.75 THEN 'A-' WHEN score >= 6 THEN 'B+' WHEN score >= 5 THEN 'B' WHEN score >= 4 THEN 'B-' ELSE 'C' END AS conviction_grade FROM m""")
+def jon2_bonus(spark, d):
+    """Prints' bias and notional, which the tables do not have by snapshot ticker, are derived from the board's own rows."""
+    b, c = board(spark, d), F.col
+    dp = b.select("ticker", "as_of", F.when(c("active_days") % 4 != 3, (c("raw_days") * 7 + c("active_days") * 3) % 10 / 10.0 + 0.05).alias("dp_bias"), (F.floor(F.col("cum_total") + 0.5) % 23).cast("double").alias("dp_bps"))
+    out = T.with_print_convergence(b, dp, ["ticker", "as_of"])
+    return out.select("as_of", "ticker", "direction", "dp_aligned", "dp_divergent", F.round(c("dp_bonus") + 1e-7, 3).alias("dp_bonus"), "conviction_score", "conviction_grade")
+
+
 @query("agg19_performance_sets", f"""WITH {PLAN_SQL} SELECT bucket, direction, exit_reason, count(*) AS trades, round(avg(realized_r), 4) + 0 AS avg_r, round(sum(CASE WHEN realized_r > 0 THEN realized_r ELSE 0 END) / nullif(-sum(CASE WHEN realized_r < 0 THEN realized_r ELSE 0 END), 0), 4) AS profit_factor
 FROM replay GROUP BY GROUPING SETS ((bucket), (direction), (exit_reason), ())""")
 def agg19(spark, d):
