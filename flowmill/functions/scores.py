@@ -64,3 +64,49 @@ def promote_reason(grade: Column, score: Column, direction: Column, close: Colum
         .when(F.coalesce(score, F.lit(0.0)) < least, "score_below_floor").when(close.isNull(), "no_ohlcv").when((atr <= 0) | (close <= 0), "atr_or_close_invalid")
         .when((ema20 > 0) & (direction == "BULLISH") & (close < ema20), "long_below_ema20_trend_failed").when((ema20 > 0) & (direction == "BEARISH") & (close > ema20), "short_above_ema20_trend_failed").otherwise("")
     )
+
+
+# Fixed values of the streak bonus.
+STREAK_DAYS, STREAK_STEP, STREAK_MOST, STREAK_FLOOR, STREAK_TREND = 3, 0.25, 1.0, 0.4, {"rising": 1.0, "flat": 0.5, "falling": 0.0}
+
+
+def streak_bonus(days: Column, trend: Column, mean_flow: Column) -> Column:
+    """What a watchlist streak adds to the final score: a step per day from the third on, weighed by the trend of its scores (half
+    where that is unknown); nothing where the mean score is low."""
+    base = F.least((F.coalesce(days, F.lit(0)) - STREAK_DAYS + 1) * STREAK_STEP, F.lit(STREAK_MOST))
+    mult = F.coalesce(*[F.when(F.lower(trend) == k, F.lit(v)) for k, v in STREAK_TREND.items()], F.lit(0.5))
+    earned = (F.coalesce(days, F.lit(0)) >= STREAK_DAYS) & (F.coalesce(mean_flow, F.lit(0.0)) >= STREAK_FLOOR)
+    return F.when(earned, F.round(base * mult, 4)).otherwise(0.0)
+
+
+def trajectory_bonus(scans_active: Column, acceleration: Column, breadth: Column, most: float = 0.3) -> Column:
+    """What a day's trajectory adds to the final score: nothing for one scan, all of it from eight scans on that accelerate fully in
+    every one; negative acceleration counts as none."""
+    hours = F.least(scans_active / 8.0, F.lit(1.0))
+    bonus = most * hours * (0.5 + 0.3 * F.greatest(F.lit(0.0), F.coalesce(acceleration, F.lit(0.0))) + 0.2 * F.coalesce(breadth, F.lit(0.0)))
+    return F.when(scans_active > 1, bonus).otherwise(0.0)
+
+
+def r_at_market(direction: Column, entry: Column, stop: Column, spot: Column) -> tuple[Column, Column]:
+    """(multiples of the risk gained since entry, multiples left to the stop); null where the risk or a price is missing."""
+    risk, sign = F.abs(entry - stop), F.when(F.upper(direction) == "LONG", 1.0).otherwise(-1.0)
+    known = (entry > 0) & (spot > 0) & (stop != 0) & (risk > 0)
+    return F.when(known, sign * (spot - entry) / risk), F.when(known, sign * (spot - stop) / risk)
+
+
+def exposure_summary(positions):
+    """One row over open positions (direction, entry_price, active_stop, shares, health_state): long, short, gross and net notional,
+    net in percent of gross, heat (risk to the stops in percent of notional, 99.9 at most) and positions by health."""
+    entry, stop, shares = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("entry_price", "active_stop", "shares"))
+    notional, live = entry * shares, (entry > 0) & (shares > 0)
+    both = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    long_ = F.upper("direction") == "LONG"
+    p = positions.agg(
+        both(F.when(long_, notional)).alias("long_exposure"), both(F.when(~F.coalesce(long_, F.lit(False)), notional)).alias("short_exposure"), F.count("*").alias("positions"), both(F.when(live, notional)).alias("_n"),
+        both(F.when(live & (stop > 0), F.abs(entry - stop) * shares)).alias("_r"), *[F.count_if(F.col("health_state") == h).alias(f"health_{h.lower()}") for h in HEALTH],
+    )
+    gross, net = F.col("long_exposure") + F.col("short_exposure"), F.col("long_exposure") - F.col("short_exposure")
+    return p.withColumns({"gross_exposure": gross, "net_exposure": net, "net_pct": F.coalesce(F.try_divide(net, F.nullif(gross, F.lit(0.0))) * 100, F.lit(0.0)), "heat_pct": F.least(F.coalesce(F.try_divide("_r", F.nullif("_n", F.lit(0.0))) * 100, F.lit(0.0)), F.lit(99.9))}).drop("_n", "_r")
+
+
+HEALTH = ("STRONG", "NEUTRAL", "WEAK", "FAILING")

@@ -83,6 +83,28 @@ def rolling_days(daily: DataFrame, days: tuple[int, ...] = (1, 3, 5)) -> DataFra
     return daily.withColumns(cols)
 
 
+def rolling_flow(events: DataFrame, days: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """A row per (ticker, direction, date, window): premium, events, mean days to expiry weighted by premium, mean volume over open
+    interest, call and put premium and their bias ((calls - puts) over both) of the last k calendar days with the date. Events of a
+    day are summed before they meet a window. events: ticker, direction, date, premium, dte, option_type, volume_oi_ratio."""
+    prem, ratio = F.coalesce("premium", F.lit(0.0)), F.col("volume_oi_ratio")
+    kind = lambda k: F.sum(F.when(F.col("option_type") == k, prem).otherwise(0.0))
+    dated = F.col("dte").isNotNull()
+    day = events.groupBy("ticker", "direction", "date").agg(
+        F.sum(prem).alias("p"), F.count("*").alias("n"), F.sum(F.when(dated, prem * F.col("dte")).otherwise(0.0)).alias("dp"), F.sum(F.when(dated, prem).otherwise(0.0)).alias("dw"), F.coalesce(F.sum(ratio), F.lit(0.0)).alias("v"), F.count(ratio).alias("vn"), kind("CALL").alias("c"), kind("PUT").alias("u"),
+    )
+    parts = []
+    for k in days:
+        w = Window.partitionBy("ticker", "direction").orderBy(F.unix_date("date")).rangeBetween(-(k - 1), 0)
+        parts.append(F.struct(F.lit(f"{k}D").alias("window"), *[F.sum(c).over(w).alias(c) for c in ("p", "n", "dp", "dw", "v", "vn", "c", "u")]))
+    long_ = day.select("ticker", "direction", "date", F.array(*parts).alias("_w")).select("ticker", "direction", "date", F.inline("_w"))
+    over = lambda a, b: F.try_divide(F.col(a) if isinstance(a, str) else a, F.nullif(F.col(b) if isinstance(b, str) else b, F.lit(0)))
+    return long_.select(
+        "ticker", "direction", "date", "window", F.col("p").alias("total_premium"), F.col("n").alias("event_count"), over("dp", "dw").alias("avg_dte_weighted"), over("v", "vn").alias("avg_volume_oi_ratio"), F.col("c").alias("call_premium"), F.col("u").alias("put_premium"),
+        over(F.col("c") - F.col("u"), F.col("c") + F.col("u")).alias("flow_bias"),
+    )
+
+
 def streak_trend(history: DataFrame, key: list[str], value: str, order: str, window: int = 5) -> DataFrame:
     """Slope of the last five values over their mean: rising, flat or falling; n/a below three values."""
     r = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
