@@ -141,12 +141,12 @@ def sta21(spark, d):
 @query("sta12_block_bootstrap")
 def sta12(spark, d):
     """Mean replay result and its 95 percent interval by resampling tickers, 2000 draws: per draw and ticker a
-    Poisson(1) weight from a hash, over per-ticker sums."""
+    Poisson(1) weight from a hash, over per-ticker sums. A draw in which no ticker is taken has no mean and counts as none."""
     per = replayed(spark, d).groupBy("ticker").agg(F.sum("realized_r").alias("s"), F.count("*").alias("n"))
     u = F.pmod(F.xxhash64("draw", "ticker"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     cuts = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582)
     weight = sum(((u > c).cast("int") for c in cuts[1:]), (u > cuts[0]).cast("int"))
-    draws = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(1999)))).withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    draws = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(1999)))).withColumn("w", weight).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("mean"))
     return draws.agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"))
 
 
