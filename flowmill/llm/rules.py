@@ -1,10 +1,13 @@
 """Quality rules with robust multivariate outliers.
 
 Counts of each text give base rules and, transformed, a vector of six statistics. Per (lang, source) the minimum
-covariance determinant estimate of that vector is found by concentration steps over all sound rows: each step takes the
-half-to-three-quarters of a group with the least Mahalanobis distance and recomputes mean and covariance. A step
-is two grouped sums (a histogram of distances, then moments), so no group meets in one task. A text is rejected
-where its squared distance exceeds CUT times the group's consistency factor."""
+covariance determinant estimate of that vector is found by concentration steps over all sound rows: each step takes
+the SHARE of a group with the least Mahalanobis distance and recomputes mean and covariance. The steps start from all
+rows, from medians and absolute deviations, and from SUBSETS small subsets drawn by hash, so that a cluster of outliers
+that hides itself in one start does not in all; after FIRST_STEPS the KEPT starts of the least determinants go
+on until these fall no more, and the least wins. A step of all starts together is two grouped sums (a histogram of distances, then
+moments), so no group meets in one task. A text is rejected where its squared distance exceeds CUT times the group's
+consistency factor."""
 
 from __future__ import annotations
 
@@ -17,9 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import Words, cut, slices, small_join
 
-#: Share of a group that the estimate rests on, and concentration steps.
+#: Share of a group that the estimate rests on.
 SHARE = 0.75
-STEPS = 4
+#: Subsets of D + 1 rows that a group's steps start from, besides all rows and medians; steps that every start takes.
+SUBSETS, FIRST_STEPS = 10, 2
+#: Starts of a group that go on after these steps.
+KEPT = 3
+#: A determinant falls if its logarithm does by more than this.
+FALL = 1e-3
 #: Groups of fewer sound rows are judged by the estimate over all of their language, or else over all rows.
 LEAST_ROWS = 100
 #: Squared distance in units of the consistency-corrected covariance: the 0.9999 quantile of chi-square with six
@@ -100,8 +108,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mean and inverse Cholesky factor (row-wise lower triangle) of each group's moments, a row per group."""
-    upper = np.triu_indices(D)
+    """Mean, inverse Cholesky factor (row-wise lower triangle) and log determinant of each row's moments."""
+    upper, low = np.triu_indices(D), np.tril_indices(D)
     for b in batches:
         n = np.asarray(b.column("n"), float)
         s = np.array(b.column("s").to_pylist(), float).reshape(len(n), D)
@@ -111,19 +119,49 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cov[:, upper[0], upper[1]] = q / n[:, None]
         cov[:, upper[1], upper[0]] = q / n[:, None]
         cov = cov - mid[:, :, None] * mid[:, None, :] + np.diag(np.square(FLOOR))
-        inverse = np.linalg.inv(np.linalg.cholesky(cov))
-        low = np.tril_indices(D)
-        yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(list(mid), pa.list_(pa.float64())), pa.array(list(inverse[:, low[0], low[1]]), pa.list_(pa.float64()))], ["g", "mid", "inv"])
+        lower = np.linalg.cholesky(cov)
+        inverse = np.linalg.inv(lower)
+        det = 2 * np.log(np.diagonal(lower, axis1=1, axis2=2)).sum(1)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("g"), b.column("start"), pa.array(det), pa.array(list(mid), pa.list_(pa.float64())), pa.array(list(inverse[:, low[0], low[1]]), pa.list_(pa.float64()))],
+            ["g", "start", "det", "mid", "inv"])
+
+
+MODEL = "g string, start int, det double, mid array<double>, inv array<double>"
 
 
 def _moments(rows: DataFrame) -> DataFrame:
+    """rows (g, start, x) -> a MODEL row per group and start."""
     x = [F.element_at("x", i + 1) for i in range(D)]
-    sums = rows.groupBy("g").agg(
+    sums = rows.groupBy("g", "start").agg(
         F.count("*").alias("n"), *[F.sum(F.round(v, 9)).alias(f"s{i}") for i, v in enumerate(x)],
         *[F.sum(F.round(x[i] * x[j], 9)).alias(f"q{i}_{j}") for i in range(D) for j in range(i, D)],
     )
     s, q = F.array(*[f"s{i}" for i in range(D)]), F.array(*[f"q{i}_{j}" for i in range(D) for j in range(i, D)])
-    return cut(sums.select("g", "n", s.alias("s"), q.alias("q")).mapInArrow(_factor, "g string, mid array<double>, inv array<double>"), "moments")
+    return cut(sums.select("g", F.col("start").cast("int").alias("start"), "n", s.alias("s"), q.alias("q")).mapInArrow(_factor, MODEL), "moments")
+
+
+def _by_medians(sound: DataFrame) -> DataFrame:
+    """Start 1: medians and scaled absolute deviations of each statistic, without correlations.
+
+    Values are rounded to 3 places for it, so that the exact percentile counts few different values."""
+    mid = sound.groupBy("g").agg(*[F.percentile(F.round(F.element_at("x", i + 1), 3), 0.5).alias(f"m{i}") for i in range(D)])
+    mid = cut(mid.select("g", F.array(*[f"m{i}" for i in range(D)]).alias("mid")), "medians")
+    off = small_join(sound, mid, ["g"])
+    mad = off.groupBy("g").agg(*[F.percentile(F.round(F.abs(F.element_at("x", i + 1) - F.element_at("mid", i + 1)), 3), 0.5).alias(f"a{i}") for i in range(D)])
+    sd = [F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR[i] ** 2) for i in range(D)]
+    inv = F.array(*[1 / sd[i] if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)])
+    det = sum((2 * F.log(v) for v in sd[1:]), 2 * F.log(sd[0]))
+    return mid.join(mad, "g").select("g", F.lit(1).alias("start"), det.alias("det"), "mid", inv.alias("inv"))
+
+
+def _starts(sound: DataFrame) -> DataFrame:
+    """MODEL rows to start from: all rows (0), medians (1), and subsets of D + 1 rows (from 2 on)."""
+    start = (2 + F.pmod(F.xxhash64("doc_id", "x"), F.lit(SUBSETS))).cast("int")
+    drawn = sound.withColumn("start", start).withColumn("_h", F.xxhash64(F.lit("draw"), "x", "doc_id"))
+    drawn = drawn.withColumn("_r", F.row_number().over(Window.partitionBy("g", "start").orderBy("_h"))).filter(F.col("_r") <= D + 1)
+    every = sound.select("g", F.lit(0).alias("start"), "x").union(drawn.select("g", "start", "x"))
+    return cut(_moments(every).union(_by_medians(sound)), "starts")
 
 
 def distance(x: Column, mid: Column, inv: Column) -> Column:
@@ -143,7 +181,11 @@ def distance(x: Column, mid: Column, inv: Column) -> Column:
 
 
 def _with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    return small_join(rows, model, ["g"]).withColumn("d2", distance(F.col("x"), F.col("mid"), F.col("inv"))).drop("mid", "inv")
+    """rows with start and d2, one for each start of their group's models; rows of groups without a model have none."""
+    extra = [c for c in model.columns if c not in ("g", "det", "mid", "inv")]
+    of_group = cut(model.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("start", "mid", "inv", *[c for c in extra if c != "start"]))).alias("models")), "models")
+    each = small_join(rows, of_group, ["g"]).withColumn("_m", F.explode("models")).drop("models")
+    return each.select(*rows.columns, *[F.col(f"_m.{c}").alias(c) for c in extra], distance(F.col("x"), F.col("_m.mid"), F.col("_m.inv")).alias("d2"))
 
 
 def _bin(d2: Column) -> Column:
@@ -151,30 +193,55 @@ def _bin(d2: Column) -> Column:
 
 
 def _limits(far: DataFrame) -> DataFrame:
-    """Per group the distance bin that its SHARE quantile falls in, from a histogram."""
-    hist = far.groupBy("g", _bin(F.col("d2")).alias("b")).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("g").orderBy("b"))
-    every = F.sum("k").over(Window.partitionBy("g"))
-    return hist.withColumn("_up", upto).withColumn("_all", every).filter(F.col("_up") >= F.ceil(SHARE * F.col("_all"))).groupBy("g").agg(F.min("b").alias("limit"))
+    """Per group and start the distance bin that its SHARE quantile falls in, from a histogram."""
+    keys = ["g", "start"]
+    hist = far.groupBy(*keys, _bin(F.col("d2")).alias("b")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*keys).orderBy("b"))
+    every = F.sum("k").over(Window.partitionBy(*keys))
+    return hist.withColumn("_up", upto).withColumn("_all", every).filter(F.col("_up") >= F.ceil(SHARE * F.col("_all"))).groupBy(*keys).agg(F.min("b").alias("limit"))
+
+
+def concentrated(sound: DataFrame, model: DataFrame) -> DataFrame:
+    """One concentration step of every group and start in model."""
+    limit = _limits(_with_distance(sound, model))
+    near = _with_distance(sound, model.join(limit, ["g", "start"])).filter(_bin(F.col("d2")) <= F.col("limit"))
+    return _moments(near.select("g", "start", "x"))
+
+
+def _least(model: DataFrame, kept: int) -> DataFrame:
+    """The rows of the `kept` least determinants of every group; a group has SUBSETS + 2 rows at most."""
+    least = model.groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("det", "start", "mid", "inv"))), 1, kept).alias("w"))
+    return cut(least.select("g", F.explode("w").alias("w")).select("g", "w.start", "w.det", "w.mid", "w.inv"), "least")
+
+
+def estimated(sound: DataFrame) -> DataFrame:
+    """sound (doc_id, g, x) -> one MODEL row per group: the least determinant that the steps of its starts end at."""
+    model = _starts(sound)
+    for _ in range(FIRST_STEPS):
+        model = concentrated(sound, model)
+    best = moving = _least(model, KEPT)
+    while not moving.isEmpty():
+        after = concentrated(sound, moving)
+        before = moving.select("g", "start", F.col("det").alias("_det"))
+        moving = cut(after.join(before, ["g", "start"]).filter(F.col("det") < F.col("_det") - FALL).select("g", "start", "det", "mid", "inv"), "moving")
+        best = best.union(moving)
+    return _least(best, 1)
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2.
 
     Null texts count nothing and fail the base; null languages or sources are groups of their own. Rows that fail
-    the base take no part in the estimates."""
+    the base take no part in the estimates. Repeated rows count as often as they occur and are judged alike; whole texts
+    are measured, however long; columns of docs beyond doc_id, text, lang and source are ignored, whatever their names.
+    An empty table gives none; where no row is sound, none is kept and d2 is null."""
     raw = cut(measured(docs), "measured")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = cut(_grouped(raw.withColumn("base_failed", failed)), "grouped")
-    sound = rows.filter(~F.col("base_failed")).select(F.explode("fits").alias("g"), "x")
-    model = _moments(sound)
-    for _ in range(STEPS):
-        far = _with_distance(sound, model)
-        limit = cut(_limits(far), "limits")
-        near = small_join(far, limit, ["g"]).filter(_bin(F.col("d2")) <= F.col("limit"))
-        model = _moments(near)
+    sound = rows.filter(~F.col("base_failed")).select("doc_id", F.explode("fits").alias("g"), "x")
+    model = estimated(sound)
     limit = cut(_limits(_with_distance(sound, model)).select("g", (F.pow(F.lit(2.0), (F.col("limit") + 1) / FINE)).alias("edge")), "limits")
-    final = small_join(_with_distance(rows, model), limit, ["g"])
+    final = small_join(rows, cut(model.join(limit, "g").select("g", "mid", "inv", "edge"), "judges"), ["g"]).withColumn("d2", distance(F.col("x"), F.col("mid"), F.col("inv")))
     factor = F.greatest(F.col("edge") / CHI_SHARE, F.lit(1.0))
     fine = F.coalesce(F.col("d2") <= CUT * factor, F.lit(True))
     return final.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fine).alias("kept"), (F.col("d2") / factor).alias("d2"))

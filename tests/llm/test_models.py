@@ -195,25 +195,68 @@ def test_rules_keep_good_and_reject_junk(spark, tables):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.2
 
 
+def _plain_step(x, mu, cov):
+    d2 = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+    b = np.floor(np.log2(d2 + 1e-9) * rules.FINE)
+    near = x[b <= np.sort(b)[int(np.ceil(rules.SHARE * len(x))) - 1]]
+    return near.mean(0), np.cov(near.T, bias=True) + np.diag(np.square(rules.FLOOR))
+
+
+def _plain_mcd(x, rng, starts=200):
+    """Minimum covariance determinant of one matrix: many random starts, each stepped until it stands."""
+    best = None
+    for _ in range(starts):
+        few = x[rng.choice(len(x), rules.D + 1, replace=False)]
+        mu, cov = few.mean(0), np.cov(few.T, bias=True) + np.diag(np.square(rules.FLOOR))
+        for _ in range(30):
+            mu, cov = _plain_step(x, mu, cov)
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, mu, cov
+    return best
+
+
 def test_concentration_equals_numpy(spark):
-    """One group: the distributed estimate equals the same steps on one matrix."""
+    """Two groups and several starts at once: each equals the same steps on one matrix."""
     rng = np.random.default_rng(2)
-    x = np.vstack([rng.normal(0, 1, (380, rules.D)), rng.normal(12, 1, (20, rules.D))])
-    rows = spark.createDataFrame([("g", v.tolist()) for v in x], "g string, x array<double>")
-    model = rules._moments(rows)
-    mine = x
-    for _ in range(3):
-        far = rules._with_distance(rows, model)
-        limit = rules._limits(far)
-        near = far.join(limit, "g").filter(rules._bin(far["d2"]) <= limit["limit"])
-        model = rules._moments(near)
-        mu, cov = mine.mean(0), np.cov(mine.T, bias=True) + np.diag(np.square(rules.FLOOR))
-        d2 = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
-        b = np.floor(np.log2(d2 + 1e-9) * rules.FINE)
-        mine = x[b <= np.sort(b)[int(np.ceil(rules.SHARE * len(x))) - 1]]
-    r = model.first()
-    assert np.allclose(r.mid, mine.mean(0), atol=1e-6)
-    assert np.abs(np.array(r.mid)).max() < 0.3
+    xs = {g: np.vstack([rng.normal(0, 1, (380, rules.D)), rng.normal(m, 1, (20, rules.D))]) for g, m in (("a", 12), ("b", 5))}
+    sound = spark.createDataFrame([(i, g, v.tolist()) for g, x in xs.items() for i, v in enumerate(x)], "doc_id long, g string, x array<double>")
+    model = rules._starts(sound)
+    started = {(r.g, r.start): r for r in model.collect()}
+    assert {k for _, k in started} == set(range(rules.SUBSETS + 2))
+    after = {(r.g, r.start): r for r in rules.concentrated(sound, rules.concentrated(sound, model)).collect()}
+    assert after.keys() == started.keys()
+    for (g, k), r in started.items():
+        low = np.zeros((rules.D, rules.D))
+        low[np.tril_indices(rules.D)] = r.inv
+        mu, cov = np.array(r.mid), np.linalg.inv(low.T @ low)
+        assert np.isclose(r.det, np.linalg.slogdet(cov)[1])
+        if k == 0:
+            assert np.allclose(mu, xs[g].mean(0), atol=1e-6)
+        if k == 1:
+            assert np.allclose(mu, np.median(xs[g], 0), atol=2e-3)
+        for _ in range(2):
+            mu, cov = _plain_step(xs[g], mu, cov)
+        assert np.allclose(after[g, k].mid, mu, atol=1e-6) and np.isclose(after[g, k].det, np.linalg.slogdet(cov)[1], atol=1e-6)
+
+
+@pytest.mark.parametrize(("share", "off"), [(0.2, 12.0), (0.1, 6.0)])
+def test_clusters_that_hide_themselves_are_rejected(spark, share, off):
+    """A cluster in one statistic inflates the classical estimate along it; some start must leave it out."""
+    rng = np.random.default_rng(6)
+    n, bad = 2000, int(2000 * share)
+    x = rng.normal(0, 1, (n, rules.D)) * np.array(rules.FLOOR) * 4
+    x[:bad, 2] += off * rules.FLOOR[2] * 4
+    sound = spark.createDataFrame([(i, "g", v.tolist()) for i, v in enumerate(x)], "doc_id long, g string, x array<double>")
+    r = rules.estimated(sound).first()
+    det, mu, cov = _plain_mcd(x, rng)
+    assert r.det <= det + 0.02 and np.allclose(np.array(r.mid) / np.array(rules.FLOOR), mu / np.array(rules.FLOOR), atol=0.5)
+    low = np.zeros((rules.D, rules.D))
+    low[np.tril_indices(rules.D)] = r.inv
+    d2 = np.square((x - np.array(r.mid)) @ low.T).sum(1)
+    factor = max(np.sort(d2)[int(np.ceil(rules.SHARE * n)) - 1] / rules.CHI_SHARE, 1.0)
+    gone = d2 > rules.CUT * factor
+    assert gone[:bad].mean() > 0.75 and gone[bad:].mean() < 0.002
 
 
 def test_small_groups_are_judged_by_their_language_or_all(spark):
