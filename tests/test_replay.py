@@ -38,3 +38,12 @@ def test_a_plan_that_holds_longer_is_refused(spark):
     p = R.plans_from(f.select("ticker", "i", F.lit("LONG").alias("direction"), F.lit("91+").alias("bucket")), f)
     with pytest.raises(Exception, match="holds more than"):
         R.replay(p.withColumn("max_hold", F.lit(R.LONGEST + 1)), f).collect()
+
+
+def test_board_and_its_outcomes_move_events_only(spark):
+    from flowmill.plans.tracker_queries import board, graded
+
+    assert plan(board(spark, D)).count("REPARTITION_BY_NUM") == 1
+    for df, most in ((board(spark, D), 1), (graded(spark, D), 2)):
+        moved = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df)) if "ticker" in x]
+        assert len(moved) <= most and "SortMergeJoin" not in plan(df)
