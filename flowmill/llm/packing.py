@@ -376,8 +376,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     small = cutted.filter(F.col("length") < CAPACITY).select(item)
     n = small.count()
     # one bin above a block's bound is part-filled, and its pieces are pooled and packed again without slack
-    blocks = max(1, math.ceil(n / BLOCK))
-    first = _packed(small, blocks, "packed", 1 if blocks > 1 else 0)
+    first = _packed(small, max(1, math.ceil(n / BLOCK)), "packed", 1)
     loose = F.col("fill") < LOOSE * CAPACITY
     pooled = first.filter(loose).select(F.explode("items").alias("item"))
     again = _packed(pooled, max(1, math.ceil(pooled.count() / BLOCK)), "repacked")

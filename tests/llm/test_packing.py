@@ -143,3 +143,21 @@ def test_thousands_of_empty_and_repeated_rows(spark, plain):
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, offset int, sequence_id int")
     bins, bound = check(packing.pack(docs).collect(), rows, plain)
     assert bins <= bound + 1
+
+
+def test_one_rule_for_one_block_and_for_several(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def spied(rows, blocks, name, slack=0):
+        raise Asked(blocks, slack)
+
+    monkeypatch.setattr(packing, "_packed", spied)
+    docs = spark.createDataFrame([(i, "some words") for i in range(30)], "doc_id long, text string")
+    asked = []
+    for block in (30, 10):
+        monkeypatch.setattr(packing, "BLOCK", block)
+        with pytest.raises(Asked) as e:
+            packing.pack(docs)
+        asked.append(e.value.args)
+    assert asked == [(1, 1), (3, 1)]
