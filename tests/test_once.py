@@ -9,3 +9,13 @@ D = "/root/testdata/sf0.001"
 def test_steps_asked_for_several_times_are_computed_once(spark, name, most):
     plan = registry.QUERIES[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "l_suppkey" in line for line in plan.splitlines()) <= most
+
+
+def test_features_of_a_ticker_are_ranked_where_the_ticker_lies(spark):
+    """Bars in partitions of whole tickers are not shuffled again to be ranked by feature and ticker."""
+    from flowmill.operators import stats
+
+    b = spark.range(40).selectExpr("concat('S', id % 3) AS ticker", "id AS date", "id % 7 * 1.0D AS span", "id % 5 * 1.0D AS body", "id % 4 * 1.0D AS fwd").repartition(4, "ticker")
+    r = stats.spearman(stats.unpivot(b, ["ticker", "date", "fwd"], ["span", "body"]), ["feature", "ticker"], "value", "fwd")
+    assert r._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    assert r.count() == 6
