@@ -9,12 +9,11 @@ side are the same too; that is certain for an exact passage, while an edit on ei
 a near one from one hash function.
 
 Windows that meet are paired with the least document of their key (a star); the windows that two documents share are
-joined to intervals and confirmed on the shingles themselves. Windows whose shingle lies in no confirmed passage of
-their document are open: their key gets a second representative, of which little occurs nowhere else. Those open after that,
-unless so much around them is their document's own that no passage is possible, meet every group of documents of their
-key that passages have joined and theirs is not in, by that group's document of which the least is its own. So
-comparisons grow with windows and groups, never with the pairs in a key; what an open window shares with a group's other
-members alone is missed (README)."""
+joined to intervals and confirmed on the shingles themselves. Two windows that passages join to their key's least document are
+in one class through it. All others are open and may hold a passage with any document of their key. Such a passage has so many
+shingles around the window's that of the rarest of either side's, one is in both (a prefix filter, exact): these shingles refine
+the key, the refined keys are stars again, and what is not in one class there either is compared pair by pair. So no pair of a
+key is left out but those in one class; a frequent line alone refines to nothing, as what surrounds it is each document's own."""
 
 from __future__ import annotations
 
@@ -26,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, as_long, cut, mix, release, slices, stream
-from .components import components
 
 SHINGLE = 5
 #: Words of the shortest passage; similarity in hundredths of shared to all shingles.
@@ -232,7 +230,9 @@ def _within(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, floa
             if level + 1 < len(COSTS):
                 todo.append((i, j, level + 1))
         todo += [(l, i, level), (j, r, level)]  # the rest of the interval may hold another passage
-    return out + _exact(x, y) + _slid(x, y, hit) if failed else out
+    if failed:
+        return out + _exact(x, y) + _slid(x, y, hit)
+    return out or _slid(x, y, hit)  # a run shorter than SPAN may be enough of a passage with what surrounds it
 
 
 def shared_passages(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, ...]]) -> list[tuple[int, int, int, int, float]]:
@@ -302,41 +302,40 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(as_long(np.concatenate(parts)))], ["doc_id", "s"])
 
 
-KEYED = "key long, doc_id long, span long, place long"
-
-
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows around whose shingle some SPAN shingles or more could be similar to as many of another document even
-    if all were shared that is not the document's own: (100 + PERCENT) * shared >= PERCENT * (length + SPAN)."""
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows by key and each of the rarest shingles around them that occur elsewhere: as many as must hold one of any
+    passage's. A passage of the window has SPAN shingles or more around c, and shares PERCENT of its distinct ones."""
     for batch in slices(batches):
         rows = []
-        for d, found, own, x in zip(batch.column("doc_id").to_pylist(), batch.column("windows").to_pylist(), batch.column("own").to_pylist(), Words(batch.column("text")).shingles(SHINGLE), strict=True):
-            total = np.concatenate([[0], np.cumsum(np.where(np.isin(as_long(x), np.array(own or [], np.int64)), -PERCENT, 100))])
+        for d, found, common, x in zip(batch.column("doc_id").to_pylist(), batch.column("windows").to_pylist(), batch.column("common").to_pylist(), Words(batch.column("text")).shingles(SHINGLE), strict=True):
+            s = as_long(x)
+            often = {w["s"]: w["k"] for w in common or []}
+            rare: dict[tuple[int, int], list[int]] = {}
             for w in found:
-                c = w["place"] >> 32
-                a = np.arange(max(w["span"] >> 32, c - SPAN + 1), c + 1)
-                b = np.arange(c + 1, min(w["span"] & 0xFFFFFFFF, c + SPAN - 1) + 2)
-                if ((total[b][None, :] - total[a][:, None] >= PERCENT * SPAN) & (b[None, :] - a[:, None] >= SPAN)).any():
-                    rows.append((w["key"], d, w["span"], w["place"]))
+                at = w["span"], w["place"] >> 32
+                if at not in rare:
+                    lo, hi = max(at[0] >> 32, at[1] - SPAN + 1), min(at[0] & 0xFFFFFFFF, at[1] + SPAN - 1)
+                    near = set(s[lo : hi + 1].tolist())
+                    starts = range(lo, min(at[1], hi - SPAN + 1) + 1)
+                    distinct = SPAN if len(near) == hi - lo + 1 else min((len(set(s[i : i + SPAN].tolist())) for i in starts), default=SPAN)
+                    known = sorted((often[v], v) for v in near if v in often)
+                    rare[at] = [v for _, v in known[: max(0, len(known) + 1 + -PERCENT * distinct // 100)]]
+                rows += [(w["key"], v, d, w["span"], w["place"], w["open"]) for v in rare[at]]
         if rows:
-            names = [f.split()[0] for f in KEYED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
-
+            names = ["key", "s", "doc_id", "span", "place", "open"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [*[pa.int64()] * 5, pa.bool_()], strict=True)], names)
 
-def _grouped(df: DataFrame, groups: DataFrame, at: str, name: str) -> DataFrame:
-    """df with the group of the document in column `at`; one without links is its own."""
-    own = groups.select(F.col("id").alias(at), F.col("component").alias("_c"))
-    return df.join(own, at, "left").withColumn(name, F.coalesce("_c", at)).drop("_c")
 
-
-def _covered(windows_: DataFrame, links: DataFrame) -> DataFrame:
-    """windows_ with `covered`: whether a confirmed passage of the document holds the window's shingle."""
-    ends = links.select("doc_id", "start", "n_words").union(links.select("match_id", "match_start", "match_words"))
-    runs = ends.groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("n_words") - SHINGLE).alias("last"))
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "last")).alias("_runs"))
+def _joined(windows_: DataFrame, of_rep: DataFrame, links: DataFrame) -> DataFrame:
+    """windows_ with `v` and `others` (their key's representative and its windows) and `joined`: whether a confirmed passage of the
+    two holds the window's shingle and one of the representative's."""
+    runs = links.groupBy(F.col("doc_id").alias("_u"), F.col("match_id").alias("_v")).agg(F.collect_list(F.struct("start", "n_words", "match_start", "match_words")).alias("_runs"))
+    holds = lambda start, words, c: (start <= c) & (c <= start + words - SHINGLE)
     c = F.shiftright("place", 32)
-    inside = F.exists("_runs", lambda x: (x["start"] <= c) & (c <= x["last"]))
-    return windows_.join(runs, "doc_id", "left").withColumn("covered", F.coalesce(inside, F.lit(False))).drop("_runs")
+    both = F.exists("_runs", lambda x: holds(x["start"], x["n_words"], c) & F.exists("others", lambda w: holds(x["match_start"], x["match_words"], F.shiftright(w["place"], 32))))
+    met = windows_.join(of_rep, "key").filter("doc_id != v")
+    met = met.join(runs, (met.doc_id == runs._u) & (met.v == runs._v), "left")
+    return met.withColumn("joined", F.coalesce(both, F.lit(False))).drop("_runs", "_u", "_v")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -366,33 +365,42 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         return cut(asked.join(a, "u").join(b, "v").select("u", "v", "anchors", "ta", "tb").mapInArrow(_confirm, LINK), "links")
 
     window = F.struct("span", "place")
-    of_rep = keyed.filter("doc_id = rep").groupBy(key).agg(F.collect_set(window).alias("others"))
-    star = keyed.filter("doc_id != rep").join(of_rep, key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"), "span", "place", "others").distinct()
+    first = lambda w: w.join(w.groupBy("key").agg(F.min("doc_id").alias("v")), "key").filter("doc_id = v").groupBy("key").agg(F.first("v").alias("v"), F.collect_set(window).alias("others"))
+    of_rep = keyed.filter("doc_id = rep").groupBy(key).agg(F.first("rep").alias("v"), F.collect_set(window).alias("others"))
+    star = keyed.filter("doc_id != rep").join(of_rep, key).select(F.col("doc_id").alias("u"), "v", "span", "place", "others").distinct()
     found = compared(star)
     release(docs)
-    # Keys with windows outside all confirmed passages get a second representative, the document of which the least is its own.
-    seen = cut(_covered(keyed.filter("doc_id != rep"), found), "seen")
-    asked = seen.filter("not covered").select(key).distinct()
+    # Keys of three documents or more with a window that its representative does not hold.
+    seen = cut(_joined(keyed.drop("rep"), of_rep, found).select(*key, "doc_id", "span", "place", (~F.col("joined")).alias("open")), "seen")
+    asked = seen.groupBy(key).agg(F.bool_or("open").alias("o"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("o and a != b").select(key)
     active = cut(seen.join(asked, key, "left_semi"), "active")
     places = active.groupBy("doc_id").agg(F.collect_set(window).alias("windows"))
-    around = places.join(texts, F.col("doc_id") == F.col("id")).select("doc_id", "text", "windows").mapInArrow(_around, "doc_id long, s long")
-    own = cut(around.groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).filter("k = 1").groupBy("doc_id").agg(F.collect_list("s").alias("own")), "own")
+    around = cut(places.join(texts, F.col("doc_id") == F.col("id")).select("doc_id", "text", "windows").mapInArrow(_around, "doc_id long, s long"), "around")
+    often = around.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1")
+    common = cut(around.join(often, "s").groupBy("doc_id").agg(F.collect_list(F.struct("s", "k")).alias("common")), "common")
+    release(docs)
+
+    def refined(w: DataFrame) -> DataFrame:
+        apart = w.groupBy("doc_id").agg(F.collect_list(F.struct(*key, "span", "place", "open")).alias("windows")).join(common, "doc_id")
+        return apart.join(texts, F.col("doc_id") == F.col("id")).select("doc_id", "text", "windows", "common").mapInArrow(_refined, "key long, s long, doc_id long, span long, place long, open boolean")
+
+    may = cut(refined(active.filter("open")), "may")
+    held = refined(active.filter("not open").join(may.select(key).distinct(), key, "left_semi"))
+    fine = may.union(held).select(F.xxhash64("key", "s").alias("key"), "doc_id", "span", "place", "open")
+    groups = fine.groupBy(key).agg(F.bool_or("open").alias("o"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("o and a != b").select(key)
+    fine = cut(fine.join(groups, key, "left_semi"), "fine")
     release(docs)
-    share = places.join(own, "doc_id", "left").select("doc_id", F.struct(F.coalesce(F.size("own"), F.lit(0)) / F.size("windows"), -F.size("windows")).alias("share"))
-    central = active.join(share, "doc_id").groupBy(key).agg(F.min(F.struct("share", F.col("doc_id").alias("v"))).alias("m")).select(*key, F.col("m.v").alias("v"))
-    of_central = active.join(central.withColumnRenamed("v", "doc_id"), [*key, "doc_id"]).groupBy(key).agg(F.first("doc_id").alias("v"), F.collect_set(window).alias("others"))
-    open_ = active.filter("not covered").drop("covered")
-    second = open_.join(of_central, key).filter("doc_id != v").select(F.col("doc_id").alias("u"), "v", "span", "place", "others").distinct()
-    more = compared(second)
+    of_first = cut(first(fine), "first")
+    starts = fine.join(of_first, key).filter("doc_id != v").select(F.col("doc_id").alias("u"), "v", "span", "place", "others").distinct()
+    more = compared(starts)
     release(docs)
-    # What is still open and may hold a passage, as enough of the shingles around it occur elsewhere, meets the other groups of its key.
-    still = _covered(open_, more).filter("not covered").drop("covered")
-    apart = still.groupBy("doc_id").agg(F.collect_list(F.struct(*key, "span", "place")).alias("windows")).join(own, "doc_id", "left")
-    may = cut(apart.join(texts, F.col("doc_id") == F.col("id")).select("doc_id", "text", "windows", "own").mapInArrow(_possible, KEYED), "may")
-    every = active.join(of_central.select(*key, F.col("v").alias("_v")), key).filter("doc_id != _v")
-    groups = cut(components(found.union(more).select(F.col("doc_id").alias("u"), F.col("match_id").alias("v"))), "groups")
-    mine = _grouped(may.withColumnRenamed("doc_id", "u"), groups, "u", "_gu")
-    ranked = _grouped(every.withColumnRenamed("doc_id", "v"), groups, "v", "_gv").join(share.withColumnRenamed("doc_id", "v"), "v")
-    nearest = ranked.groupBy(*key, "_gv").agg(F.min(F.struct("share", "v", "span", "place")).alias("m"))
-    rest = mine.join(nearest, key).filter("_gu != _gv").select("u", "m.v", "span", "place", F.array(F.struct("m.span", "m.place")).alias("others")).distinct()
-    return found.union(more).union(compared(rest)).distinct()
+    # Pairs of a refined key of which one is open and one is not in the representative's class.
+    rest = _joined(fine, of_first, more).select(*key, "doc_id", "span", "place", "open", "joined")
+    rest = cut(rest, "rest")
+    y = rest.select(*key, F.col("doc_id").alias("y"), F.col("span").alias("y_span"), F.col("place").alias("y_place"), F.col("open").alias("y_open"), F.col("joined").alias("y_joined"))
+    # each pair once: its greater document leads, from whichever side it was met
+    pair = rest.filter("not joined").join(y, key).filter("doc_id != y and (open or y_open) and (doc_id > y or y_joined)")
+    lead = F.col("doc_id") > F.col("y")
+    of = lambda a, b: F.when(lead, F.col(a)).otherwise(F.col(b))
+    pair = pair.select(of("doc_id", "y").alias("u"), of("y", "doc_id").alias("v"), of("span", "y_span").alias("span"), of("place", "y_place").alias("place"), F.array(F.struct(of("y_span", "span").alias("span"), of("y_place", "place").alias("place"))).alias("others"))
+    return found.union(more).union(compared(pair.distinct())).distinct()

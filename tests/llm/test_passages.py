@@ -159,3 +159,32 @@ def test_near_passages_are_recalled(spark):
     got = {(r.match_id, r.doc_id) for r in p.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(b == a + 1 and a % 2 == 0 for a, b in got)
     assert len({a // 2 for a, _ in got} & want) >= 0.9 * len(want)
+
+
+def test_links_between_other_members_of_a_key_are_kept(spark):
+    """Every document holds one of two lines. Two documents hold a few more words beside it; passages elsewhere join each to one that
+    holds both lines over and over, and all of those to each other, so that the two are in one group before they meet."""
+    rnd = random.Random(21)
+    line = [words(rnd, 42) for _ in range(2)]
+    rows = [(i, " ".join(words(rnd, 60) + line[i % 2] + words(rnd, 60))) for i in range(8)]
+    want = set()
+    for k in range(12):
+        more, at, one, two = words(rnd, 9), 100 + 4 * k, line[k % 2], line[1 - k % 2]
+        for i in (at, at + 1):
+            elsewhere = words(rnd, 60)
+            rows += [(i, " ".join(elsewhere + words(rnd, 60) + two + one + two)), (i + 2, " ".join(elsewhere + words(rnd, 60) + one + more + words(rnd, 60)))]
+            want.add((i + 2, i))
+        want.add((at + 3, at + 2))
+    got = {(r.doc_id, r.match_id) for r in p.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got
+    assert all(u % 4 < 2 and v % 4 < 2 for u, v in got - want)
+
+
+def test_short_common_run_is_enough_of_a_passage(spark):
+    """45 words in common make 41 of the 51 shingles of two passages of 50 words: similarity 0.80."""
+    rnd = random.Random(22)
+    common = words(rnd, 45)
+    rows = [(i, " ".join(words(rnd, 60) + common + words(rnd, 60))) for i in (1, 2)]
+    got = p.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.match_id, r.n_words, r.match_words) for r in got} == {(2, 1, 50, 50)}
+    assert all(r.similarity >= 0.75 for r in got)
