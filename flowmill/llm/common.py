@@ -44,6 +44,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that `cut` wrote and nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Let Spark drop the shuffle files of tables that are written and no longer referred to: its cleaner acts when the
     driver collects garbage, which a driver with little to do seldom does."""

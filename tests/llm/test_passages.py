@@ -188,3 +188,21 @@ def test_short_common_run_is_enough_of_a_passage(spark):
     got = p.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.match_id, r.n_words, r.match_words) for r in got} == {(2, 1, 50, 50)}
     assert all(r.similarity >= 0.75 for r in got)
+
+
+def test_windows_alike_within_reach_have_one_print():
+    """Prints agree exactly where the shingles that a shortest passage can hold are the same, and c lies alike among them."""
+    rnd = random.Random(23)
+    common = words(rnd, 300)
+    texts = pa.array([" ".join(words(rnd, n) + common[:cut] + words(rnd, n)) for n, cut in ((60, 300), (85, 300), (70, 150))])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), texts], ["doc_id", "text"])
+    shingles = p.Words(texts).shingles(p.SHINGLE)
+    prints, alike = {}, 0
+    for out in p._windows(iter([batch])):
+        for d, span, place, near in zip(*(out.column(c).to_pylist() for c in ("doc_id", "span", "place", "near")), strict=True):
+            c = place >> 32
+            lo, hi = max(span >> 32, c - p.SPAN + 1), min(span & 0xFFFFFFFF, c + p.SPAN - 1)
+            whole = (c - lo, *shingles[d - 1][lo : hi + 1].tolist())
+            alike += whole in prints and prints[whole][1] != d
+            assert prints.setdefault(whole, (near, d))[0] == near
+    assert alike > 10 and len({near for near, _ in prints.values()}) == len(prints)
