@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.flow import with_direction
 from ..sources import tables as T
 from ..sources.fixtures import FLOW_SQL, PRINTS_SQL, SNAPSHOTS_SQL, flow_events, prints, snapshots
-from ..sources.shared import shared_folder
+from ..sources.shared import settled, shared_folder
 from ..streaming import streams as S
 from .registry import query
 
@@ -113,8 +113,9 @@ def snk2(spark, d):
 def snk3(spark, d):
     path, t = _folder(spark), F.col("trades")
     g = snapshots(spark, d).select(F.col("snapshot_date").alias("as_of"), "ticker", F.when(t % 3 == 0, "A").when(t % 3 == 1, "B").otherwise(" ").alias("conviction_grade"), F.when(t % 4 == 0, "leap").when(t % 4 == 1, "").alias("dominant_dte_bucket"))
+    g = settled(T.graded_rows(g))  # written twice below
     for _ in range(2):
-        T.replace_partitions(T.graded_rows(g), path, "as_of")
+        T.replace_partitions(g, path, "as_of")
     return _read(spark, path).select("as_of", "ticker", "conviction_grade", "dominant_dte_bucket")
 
 

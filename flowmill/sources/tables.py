@@ -86,8 +86,9 @@ def graded_rows(df: DataFrame, grade: str = "conviction_grade", bucket: str = "d
 
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
-    """Overwrite exactly the partitions that df holds."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Overwrite exactly the partitions that df holds. Rows are first gathered by partition, a large one in several tasks, so that
+    the number of files grows with the rows and not with tasks times partitions."""
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def retained(df: DataFrame, by: str, as_of: Column, days: int) -> DataFrame:

@@ -36,6 +36,15 @@ def test_partition_replace_is_idempotent(spark, tmp_path):
     assert kept.count() == 1
 
 
+def test_files_of_replaced_partitions_do_not_grow_with_tasks(spark, tmp_path):
+    a = spark.range(4000).selectExpr("id % 20 AS d", "id AS x").repartition(50)
+    for _ in range(2):
+        T.replace_partitions(a, str(tmp_path / "t"), "d")
+    assert len(list((tmp_path / "t").glob("d=*/*.parquet"))) <= 4 * 20
+    got = spark.read.parquet(str(tmp_path / "t"))
+    assert got.groupBy("d").count().collect() == got.groupBy("d").count().filter("count = 200").collect() and got.distinct().count() == 4000
+
+
 def test_upsert_append_and_archive(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c", 5)], "k int, v string, extra int")
