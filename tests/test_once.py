@@ -41,3 +41,9 @@ def _longest_method(spark, df):
 
 def test_generated_code_of_the_board_is_compiled(spark):
     assert _longest_method(spark, registry.QUERIES["sta20_grade_stats_as_of"](spark, D)) <= 8000
+
+
+@pytest.mark.parametrize("name", ["sta16_normal_equations", "sta14_conditional_slices"])
+def test_graded_rows_that_are_read_again_are_written_once(spark, name):
+    plan = registry.QUERIES[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_suppkey" in line for line in plan.splitlines()) == 0
