@@ -47,3 +47,8 @@ def test_generated_code_of_the_board_is_compiled(spark):
 def test_graded_rows_that_are_read_again_are_written_once(spark, name):
     plan = registry.QUERIES[name](spark, D)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation" in line and "l_suppkey" in line for line in plan.splitlines()) == 0
+
+
+def test_plans_are_not_walked_for_excess_returns_alone(spark):
+    plan = registry.QUERIES["sta8_level_attribution"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
